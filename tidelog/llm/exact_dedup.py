@@ -98,8 +98,9 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "tex
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, keep_id (largest doc_id of the rows with an equal text), group_size, kept, text_sha256."""
-    rows = identities(docs, block_bytes, text, doc_id)
-    groups = rows.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rows = written(identities(docs, block_bytes, text, doc_id), "identities")
+    # Both sides of the join below come from tables, so that adaptive execution may split a large group's rows.
+    groups = written(rows.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = rows.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
