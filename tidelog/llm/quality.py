@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table, written
+from tidelog.llm.common import discard, table, written
 
 ORDER = 5
 HASH_BITS = 24
@@ -159,7 +159,8 @@ def _hash_rows(bits: int):
 def model(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """kind -> sorted hashes and their values; kind 2k has probabilities of runs of k bytes, 2k + 1 weights of their contexts."""
     counted = _text_columns(docs, text, doc_id, lang).mapInArrow(_counts(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    now, parts = written(counted, "counts"), None
+    now, out = written(counted, "counts"), {}
+    # Each order is a table of its own and comes to the driver on its own: short plans, and never two orders at once.
     for k in range(order, 0, -1):
         tally = now.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)))
         y = F.col("t1") / F.greatest(F.col("t1") + 2 * F.col("t2"), F.lit(1.0))
@@ -171,21 +172,24 @@ def model(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, text: str
         own = seen.select("lang", F.lit(2 * k).alias("kind"), "run", ((F.col("n") - less) / F.col("total")).alias("value")).unionByName(
             context.select("lang", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("run"), ((F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")).alias("value"))
         )
-        parts = own if parts is None else parts.unionByName(own)
-        now = now.groupBy("lang", F.col("run").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("run")).agg(F.count(F.lit(1)).alias("n"))
-    rows = parts.mapInArrow(_hash_rows(bits), "kind int, hash int, value double").groupBy("kind", "hash").agg(F.max("value").cast("float").alias("value"))
-    got = rows.toArrow()
-    kind, hashes, value = (got.column(i).to_numpy() for i in range(3))
-    out = {}
-    for k in np.unique(kind):
-        own = kind == k
-        place = np.argsort(hashes[own])
-        out[int(k)] = hashes[own][place], value[own][place]
+        rows = own.mapInArrow(_hash_rows(bits), "kind int, hash int, value double").groupBy("kind", "hash").agg(F.max("value").cast("float").alias("value"))
+        got = rows.toArrow()
+        kinds, hashes, values = (got.column(i).to_numpy() for i in range(3))
+        del got
+        for kind in (2 * k, 2 * k + 1):
+            mine = kinds == kind
+            place = np.argsort(hashes[mine])
+            out[kind] = hashes[mine][place], values[mine][place]
+        if k > 1:
+            lower = written(now.groupBy("lang", F.col("run").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("run")).agg(F.count(F.lit(1)).alias("n")), "counts")
+            discard(now)
+            now = lower
+    discard(now)
     return out
 
 
 def _found(array: tuple[np.ndarray, np.ndarray] | None, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if array is None:
+    if array is None or not len(array[0]):
         return np.zeros(len(hashes), bool), np.zeros(len(hashes))
     at = np.minimum(np.searchsorted(array[0], hashes), len(array[0]) - 1)
     return array[0][at] == hashes, array[1][at].astype(np.float64)
