@@ -230,8 +230,8 @@ def extract(pages: DataFrame, cell: int = CELL, copy: float = COPY, html: str =
     """Per row of pages: page_id, url, text, n_chars."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).cast("string").alias("html"))
     counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.greatest(F.lit(cell), F.ceil(F.sum("n") / CELLS)).alias("most"))
-    large = counts.crossJoin(F.broadcast(total)).filter("n > most").select("host", F.ceil(F.col("n") / F.col("most")).alias("cells"))
+    most = max(cell, -(-pages.count() // CELLS))
+    large = counts.filter(F.col("n") > most).select("host", F.ceil(F.col("n") / most).alias("cells"))
     # At most CELLS hosts have more than one in CELLS of all pages.
     rows = rows.join(F.broadcast(large), "host", "left").withColumn("cell", F.pmod(F.xxhash64("path"), F.coalesce("cells", F.lit(1))))
     lines = rows.select("page_id", "url", "host", "path", "cell", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, cell long, lines array<string>, is_main array<boolean>")

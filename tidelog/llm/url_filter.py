@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import table, written
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 MAX_BAD = 0.5
@@ -62,29 +62,35 @@ def domain_of(host: Column, second=SECOND_LEVEL) -> Column:
     return F.when(two.isin(*second), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def _weight(groups: DataFrame, prior: str) -> Column:
-    """Method of moments: the prior weight at which members of a level vary around their parents as they do."""
-    excess = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col(prior), 2)) - F.sum(F.col(prior) * (1 - F.col(prior)))
-    scale = F.sum(F.col("n") * F.col(prior) * (1 - F.col(prior)))
+def _weight(groups: DataFrame, prior: str) -> float:
+    """Method of moments: the prior weight at which members of a level vary around their parents as they do. One number."""
     chance = F.sum(F.col(prior) * (1 - F.col(prior)))
-    spread = excess / F.greatest(scale - chance, F.lit(1e-9))
-    return F.least(F.greatest(F.lit(WEIGHT[0]), 1 / F.greatest(spread, F.lit(1e-6)) - 1), F.lit(WEIGHT[1])).alias("weight")
+    excess = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col(prior), 2)) - chance
+    scale = F.sum(F.col("n") * F.col(prior) * (1 - F.col(prior))) - chance
+    excess, scale = groups.filter("n > 0").agg(excess, scale).first()
+    if excess is None:
+        return WEIGHT[0]
+    spread = max(excess / max(scale, 1e-9), 1e-6)
+    return min(max(WEIGHT[0], 1 / spread - 1), WEIGHT[1])
 
 
 def reputation(outcomes: DataFrame, second=SECOND_LEVEL) -> DataFrame:
-    """outcomes (host, n, bad: labelled pages and bad ones) -> host, n, bad, alpha, beta: the posterior of each host's bad share."""
+    """outcomes (host, n, bad: labelled pages and bad ones) -> host, n, bad, alpha, beta: the posterior of each host's bad share.
+
+    outcomes is read once for each level and should be a table. The driver gets a few numbers for each level.
+    """
     hosts = outcomes.withColumns({"domain": domain_of(F.col("host"), second), "suffix": suffix_of(F.col("host"), second)})
-    total = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("mean0"))
+    mean = outcomes.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).first()[0]
 
-    def level(groups: DataFrame, prior: str, name: str) -> DataFrame:
-        weight = groups.filter("n > 0").agg(F.coalesce(_weight(groups, prior), F.lit(WEIGHT[0])).alias(f"w_{name}"))
-        out = groups.crossJoin(F.broadcast(weight))  # one row
-        return out.withColumn(f"mean_{name}", (F.col(prior) * F.col(f"w_{name}") + F.col("bad")) / (F.col(f"w_{name}") + F.col("n")))
+    def shrunk(groups: DataFrame, prior: str, name: str) -> DataFrame:
+        weight = _weight(groups, prior)
+        return groups.withColumn(f"w_{name}", F.lit(weight)).withColumn(f"mean_{name}", (F.col(prior) * weight + F.col("bad")) / (weight + F.col("n")))
 
-    suffixes = level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(total)), "mean0", "suffix")
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes.select("suffix", "mean_suffix"), "suffix")
-    domains = level(domains, "mean_suffix", "domain").select("suffix", "domain", "mean_domain")
-    each = level(hosts.join(domains, ["suffix", "domain"]), "mean_domain", "host")
+    sums = F.sum("n").alias("n"), F.sum("bad").alias("bad")
+    suffixes = shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("mean_all", F.lit(mean)), "mean_all", "suffix")
+    domains = hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes.select("suffix", "mean_suffix"), "suffix")
+    domains = shrunk(domains, "mean_suffix", "domain").select("suffix", "domain", "mean_domain")
+    each = shrunk(hosts.join(domains, ["suffix", "domain"]), "mean_domain", "host")
     a = F.col("mean_domain") * F.col("w_host") + F.col("bad")
     b = (1 - F.col("mean_domain")) * F.col("w_host") + F.col("n") - F.col("bad")
     return each.select("host", "n", "bad", a.alias("alpha"), b.alias("beta"))
@@ -97,7 +103,7 @@ def judge(pages: DataFrame, bad: Column | None, rules=RULES, max_bad: float = MA
     """
     label = F.lit(None).cast("boolean") if bad is None else bad
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), label.alias("_bad"))
-    outcomes = rows.groupBy("host").agg(F.count("_bad").alias("n"), F.count_if("_bad").alias("bad"))
+    outcomes = written(rows.groupBy("host").agg(F.count("_bad").alias("n"), F.count_if("_bad").alias("bad")), "outcomes")
     a, b = F.col("alpha"), F.col("beta")
     mean = a / (a + b)
     low = F.greatest(mean - z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1))), F.lit(0.0))
