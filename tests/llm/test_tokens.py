@@ -75,6 +75,18 @@ def test_token_files(spark, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in token_output.read_ids(spark, out).collect()} == dict(enumerate(ids))
 
 
+def test_tokens_are_as_the_library_has_them():
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, "rb") as f:
+        own = token_output.Tokens(f.read())
+    texts = [t or "" for t in TEXTS] + random_texts(5000, 3)
+    for part in (texts[:40], texts[40:], texts):  # with an empty store, a partly filled one, and one that knows all
+        got = [np.frombuffer(x, "<u2").tolist() for x in own.encode_batch(part)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     out = f"file://{tmp_path}/none"
     token_output.write(frame(spark, []), out, P.path("byte_bpe_50k.json"))

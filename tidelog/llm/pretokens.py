@@ -24,22 +24,25 @@ class Chunks:
         known = self.known
         # A chunk stands with the space before it; the first has none, and is kept under a key that has a space at its end.
         parts = [None if _TANGLED.search(t) else t.split(" ") for t in texts]
+        found = [p and list(map(known.get, p)) for p in parts]
         need, first = set(), {}
-        for p, t in zip(parts, texts, strict=True):
+        for p, t, f in zip(parts, texts, found, strict=True):
             if p is None:
                 first[t] = None
             else:
-                need.update(p[1:])
+                f[0] = b""
+                if None in f:
+                    need.update([x for x, y in zip(p, f, strict=True) if y is None])
                 if p[0]:
                     first[p[0]] = None
-        need = [x for x in need if x not in known]
+        need = list(need)
         whole = list(first)
         got = iter(self.encode([" " + x for x in need] + whole))
         for x in need:
             known[x] = next(got)
         first = dict(zip(whole, got, strict=True))
         first[""] = b""
-        return [first[t] if p is None else first[p[0]] + b"".join([known[x] for x in p[1:]]) for p, t in zip(parts, texts, strict=True)]
+        return [first[t] if p is None else first[p[0]] + b"".join([known[x] if y is None else y for x, y in zip(p, f, strict=True)] if None in f else f) for p, t, f in zip(parts, texts, found, strict=True)]
 
 
 def grouped(texts, limit: int = 1 << 20):
