@@ -96,6 +96,20 @@ def test_simhash_of_nothing(spark):
     assert simhash.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+REPEATS = [(1, "a b c d", "x"), (1, "a b c d", "y"), (1, "other words here", "x"), (2, "A b c d", "x"), (2, "a B c d", "x"), (None, "a b c d", "x"), (None, "only without an id", "x"), (None, "only without an id", "x")]
+
+
+def test_one_row_of_each_group_where_doc_ids_repeat(spark):
+    df = spark.createDataFrame(REPEATS, "doc_id long, text string, tag string")
+    exact = [tuple(r) for r in exact_dedup.keep_one(df).collect()]
+    assert sorted((i or 0, t.translate(LOWER)) for i, t, _ in exact) == [(0, "only without an id"), (1, "other words here"), (2, "a b c d")]
+    near = [tuple(r) for r in simhash.keep_one(df).collect()]
+    want = brute_components([brute_print(t) for _, t, _ in REPEATS])
+    assert len(near) == len(set(want)) == 3
+    assert sorted((i or 0, t) for i, t, _ in near) == [(0, "only without an id"), (1, "a b c d"), (1, "other words here")]
+    assert exact_dedup.keep_one(df.limit(0)).columns == simhash.keep_one(df.limit(0)).columns == df.columns
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i + 1, i) for i in range(40)] + [(100 + i, 100) for i in range(1, 50)]
     got = {r["a"]: r["b"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -97,7 +97,10 @@ def test_perplexity_bands_keep_clean_and_reject_junk(spark):
     got = [(r["doc_id"], r["kept"]) for r in quality.quality(df).collect()]
     assert sorted(i for i, kept in got if not kept) == [150, 151, 152, 900]
     assert len(got) == len(rows) and quality.quality(df.limit(0)).count() == 0
-    assert quality.keep_good(df).columns == df.columns
+    more = spark.createDataFrame([(1, junk[0], "en", 1), (None, junk[0], "en", 2), (None, clean[4], "en", 3)], df.schema)
+    left = quality.keep_good(df.unionByName(more))
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == sorted([(False, i) for i in range(150)] + [(False, 901)] * 2 + [(True, 0)])
 
 
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "</s>[INST] ok [/INST]"), (2, 1, "assistant", "<\\/s> </s> <\\\\s>"), (3, 0, None, None), (3, 1, "we%0A\n[x", "[INST]a\nb"), (4, 0, "assistant", "<s>"), (4, 0, "assistant", "<s>"), (5, 0, "user", "<"), (5, 1, "assistant", "[/INST"), (6, None, "tool", "x" * 50_000), (6, 1, "user", "</s>" * 500)]

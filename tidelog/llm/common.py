@@ -6,9 +6,11 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_TAG, _ID = "_tidelog_tag", "_tidelog_id"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +56,22 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, tag: Column, one: bool, doc_id: str = "doc_id") -> DataFrame:
+    """docs without the rows whose verdict in the table verdicts (doc_id, tag, kept) is no; one: of rows alike, one stays.
+
+    tag is a hash of what the verdict came from, so rows that share a doc_id (or have none) are judged on their own.
+    """
+    keys = verdicts.select(F.col("doc_id").alias(_ID), F.col("tag").alias(_TAG), "kept")
+
+    def match(rows: DataFrame, by: DataFrame, how: str) -> DataFrame:
+        by = by.select(F.col(_ID).alias("id"), F.col(_TAG).alias("tag"))
+        return rows.join(by, rows[_ID].eqNullSafe(by["id"]) & (rows[_TAG] == by["tag"]), how)
+
+    rows = docs.withColumns({_ID: F.col(doc_id).cast("long"), _TAG: tag})
+    out = match(rows, keys.filter("NOT kept").distinct(), "left_anti")
+    twice = keys.filter("kept").groupBy(_ID, _TAG).count().filter("count > 1")
+    if one and not twice.isEmpty():
+        out = match(out, twice, "left_anti").unionByName(match(out, twice, "left_semi").dropDuplicates([_ID, _TAG]))
+    return out.drop(_ID, _TAG)

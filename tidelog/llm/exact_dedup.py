@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table, written
+from tidelog.llm.common import keep_rows, table, written
 
 BLOCK_BYTES = 4096
 #: Sorted runs that names are dealt from; a name is its run's number and its place in the run.
 RUNS = 1 << 16
 RUN_SHIFT = 40
 
-_CUT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("pos", pa.int64()), ("n_blocks", pa.int64()), ("key", pa.int64()), ("block", pa.binary())])
-_CUT_SQL = "row long, doc_id long, text_sha256 string, pos long, n_blocks long, key long, block binary"
+_CUT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("text_sha256", pa.string()), ("pos", pa.int64()), ("n_blocks", pa.int64()), ("key", pa.int64()), ("block", pa.binary())])
+_CUT_SQL = "row long, doc_id long, tag long, text_sha256 string, pos long, n_blocks long, key long, block binary"
 
 
 def _cut(block_bytes: int):
@@ -45,7 +45,7 @@ def _cut(block_bytes: int):
             out = {f.name: [] for f in _CUT}
             known: dict[bytes, int] = {}
             size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, tag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower()
                 sha, n = hashlib.sha256(data).hexdigest(), max(1, -(-len(data) // block_bytes))
                 for pos in range(n):
@@ -55,7 +55,7 @@ def _cut(block_bytes: int):
                         own = known[block] = key
                         key += 1
                         size += len(block)
-                    for name, value in zip(out, (row, doc_id, sha if pos == 0 else None, pos, n, own, block if new else None), strict=True):
+                    for name, value in zip(out, (row, doc_id, tag, sha if pos == 0 else None, pos, n, own, block if new else None), strict=True):
                         out[name].append(value)
                     if size >= 16 << 20:
                         yield pa.RecordBatch.from_pydict(out, schema=_CUT)
@@ -74,12 +74,12 @@ def _named(distinct: DataFrame, by: list[str], run_of) -> DataFrame:
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """row, doc_id, text_sha256, n_blocks, name: texts are equal if and only if (n_blocks, name) are."""
+    """row, doc_id, tag (hash of the text as it is), text_sha256, n_blocks, name: texts are equal if and only if (n_blocks, name) are."""
     spark = docs.sparkSession
-    cut = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(_cut(block_bytes), _CUT_SQL), "blocks")
+    cut = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(_cut(block_bytes), _CUT_SQL), "blocks")
     places = cut.select("row", "pos", "n_blocks", "key")
     names = _named(cut.filter("block IS NOT NULL").select("key", "block"), ["block"], F.xxhash64("block")).select("key", "name")
-    heads = cut.filter("pos = 0").select("row", "doc_id", "text_sha256", "n_blocks")
+    heads = cut.filter("pos = 0").select("row", "doc_id", "tag", "text_sha256", "n_blocks")
     level = written(places.join(names, "key").select("row", "pos", "n_blocks", "name"), "names")
     done, width = level.filter("n_blocks = 1").select("row", "name"), level.agg(F.max("n_blocks")).first()[0] or 1
     left = level.filter("n_blocks > 1").withColumn("n", F.col("n_blocks"))
@@ -105,10 +105,14 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "te
     return out.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that exact_dedup drops; rows of a kept doc_id that repeat it word for word become one."""
-    drop = exact_dedup(docs, **options).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of equal texts: of its largest doc_id; of that one's rows, an arbitrary but repeatable
+    spelling, and one of the rows that repeat it. A doc_id's other texts stay or go with their own groups."""
+    rows = written(identities(docs, block_bytes, text, doc_id), "identities")
+    stays = written(rows.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "tag")).alias("stay")), "groups")
+    kept = F.expr("doc_id <=> stay.doc_id AND tag = stay.tag")
+    verdicts = written(rows.join(stays, ["n_blocks", "name"]).select("doc_id", "tag", kept.alias("kept")), "verdicts")
+    return keep_rows(docs, verdicts, F.xxhash64(text), True, doc_id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ counts of all references' scores. Documents outside the band are rejected: above
 look like (symbols, shouting, tables), below it what repeats itself.
 
 Defined results: null text has no words; null language is a language of its own; a language without references has no
-band, and the written rules alone decide; rows that repeat a doc_id are rows of their own; an empty table gives an
+band, and the written rules alone decide; rows that repeat a doc_id are rows of their own, in keep_good too; an empty table gives an
 empty result; columns besides doc_id, text and lang are ignored.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import discard, table, written
+from tidelog.llm.common import discard, keep_rows, table, written
 
 ORDER = 5
 HASH_BITS = 24
@@ -39,8 +39,8 @@ MIN_WORDS = 50
 _CHUNK, _PIECE = 4 << 20, 1 << 20
 _SYMBOLS = [bytes([b]) for b in b"#*$%&|<>"]
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-_COLUMNS = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("reference", pa.bool_()), ("milli", pa.int64())]
-_SQL_COLUMNS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference boolean, milli long"
+_COLUMNS = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("reference", pa.bool_()), ("milli", pa.int64()), ("tag", pa.int64())]
+_SQL_COLUMNS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference boolean, milli long, tag long"
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -133,7 +133,11 @@ def _counts(order: int):
 
 
 def _text_columns(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(lang).cast("string").alias("lang"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(lang).cast("string").alias("lang"), _tag(text, lang).alias("tag"))
+
+
+def _tag(text: str, lang: str):
+    return F.xxhash64(F.col(text), F.col(lang))
 
 
 def _hashed(lang: str, kind: int, runs: np.ndarray, bits: int) -> np.ndarray:
@@ -233,6 +237,7 @@ def _scores(arrays, order: int, bits: int):
                     flush(held, sums)
                     size = 0
             flush(held, sums)
+            out["tag"] = batch.column(3)
             out["milli"] = [int(1000 * s / max(1, n) + 0.5) for s, n in zip(sums, sizes, strict=True)]
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(_COLUMNS))
 
@@ -249,20 +254,23 @@ def bands(scores: DataFrame, reach: float = BAND) -> DataFrame:
     return quarters.select("lang", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
 
 
-def quality(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Per row of docs: doc_id, the written rules' figures, base_failed, kept, and the score, lang, low and high."""
+def _judged(docs: DataFrame, order: int, bits: int, reach: float, text: str, doc_id: str, lang: str) -> DataFrame:
     spark = docs.sparkSession
     arrays = spark.sparkContext.broadcast(model(docs, order, bits, text, doc_id, lang))
     scores = written(_text_columns(docs, text, doc_id, lang).mapInArrow(_scores(arrays, order, bits), _SQL_COLUMNS), "scores")
     out = scores.join(bands(scores, reach), "lang", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("milli").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("milli").alias("score_milli"), "lang", "low", "high")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("milli").alias("score_milli"), "lang", "low", "high", "tag")
+
+
+def quality(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """Per row of docs: doc_id, the written rules' figures, base_failed, kept, and the score, lang, low and high."""
+    return _judged(docs, order, bits, reach, text, doc_id, lang).drop("tag")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that quality() rejects."""
-    drop = quality(docs, **options).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """docs without the rows that quality() rejects; of rows that share a doc_id, each is judged on its own."""
+    return keep_rows(docs, _judged(docs, order, bits, reach, text, doc_id, lang), _tag(text, lang), False, doc_id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import discard, free_shuffles, table, written
+from tidelog.llm.common import discard, free_shuffles, keep_rows, table, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -92,14 +92,14 @@ def _fingerprints(n: int, chunk: int = 1 << 16):
                     done.append(flush(lists))
                     lists, held = [], 0
             done.append(flush(lists))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(done))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(done))], names=["doc_id", "tag", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(_fingerprints(n), "doc_id long, fp long")
+    """doc_id, tag (hash of the text as it is), fp: the fingerprint as a signed long."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(_fingerprints(n), "doc_id long, tag long, fp long")
 
 
 def _variants(bits: int):
@@ -231,24 +231,30 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return out
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
+def _members(docs: DataFrame, radius: int, n: int, text: str, doc_id: str) -> DataFrame:
+    """Per row of docs: doc_id, tag, fp, and stay: the smallest doc_id of the component and the smallest tag with it."""
     rows = written(fingerprints(docs, n, text, doc_id), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
+    prints = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")), "prints")
     met = link(prints, radius)
     path = components(met)
     discard(met)
-    member = prints.join(path, prints.fp == path.a, "left").select("fp", "first_id", F.coalesce("b", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    mapped = written(member.join(least, "root").select("fp", "component_id"), "members")
-    out = rows.join(mapped, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = prints.join(path, prints.fp == path.a, "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
+    least = member.groupBy("root").agg(F.min("first").alias("stay"))
+    mapped = written(member.join(least, "root").select("fp", "stay"), "members")
+    return rows.join(mapped, "fp")
+
+
+def near_dedup(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
+    return _members(docs, radius, n, text, doc_id).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("stay.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component, the one of its smallest doc_id; components of null doc_ids stay."""
-    drop = near_dedup(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: of its smallest doc_id (null only if it has no other); of that one's texts, an
+    arbitrary but repeatable one, and one of the rows that repeat it. A doc_id's other texts go with their own components."""
+    kept = F.expr("doc_id <=> stay.doc_id AND tag = stay.tag")
+    verdicts = written(_members(docs, radius, n, text, doc_id).select("doc_id", "tag", kept.alias("kept")), "verdicts")
+    return keep_rows(docs, verdicts, F.xxhash64(text), True, doc_id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
