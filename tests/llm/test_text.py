@@ -103,6 +103,24 @@ def test_perplexity_bands_keep_clean_and_reject_junk(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == sorted([(False, i) for i in range(150)] + [(False, 901)] * 2 + [(True, 0)])
 
 
+def test_copies_of_a_text_do_not_move_the_bands(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice(["the", "an", "re", "ti", "on", "sh"]) for _ in range(rnd.randint(1, 4))) for _ in range(300)]
+    clean = [" ".join(rnd.choice(words) for _ in range(120)) + "." for _ in range(100)]
+    junk = [" ".join(w + rnd.choice(["%%%", "$$$"]) for w in clean[0].split()), clean[1].upper(), " | ".join(clean[2].split())]
+    once = list(enumerate(clean + junk))
+    schema = "doc_id long, text string, lang string"
+
+    def judged(rows):
+        return {r["doc_id"]: (r["kept"], r["score_milli"], r["low"], r["high"]) for r in quality.quality(spark.createDataFrame([(*r, "en") for r in rows], schema)).collect()}
+
+    want = judged(once)
+    assert sorted(i for i, x in want.items() if not x[0]) == [100, 101, 102]
+    for copies in (50, 400):  # a third of all rows, and four fifths
+        got = judged(once + [(1000 + i, clean[7]) for i in range(copies)])
+        assert {i: got[i] for i in want} == want and all(got[1000 + i][0] for i in range(copies))
+
+
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "</s>[INST] ok [/INST]"), (2, 1, "assistant", "<\\/s> </s> <\\\\s>"), (3, 0, None, None), (3, 1, "we%0A\n[x", "[INST]a\nb"), (4, 0, "assistant", "<s>"), (4, 0, "assistant", "<s>"), (5, 0, "user", "<"), (5, 1, "assistant", "[/INST"), (6, None, "tool", "x" * 50_000), (6, 1, "user", "</s>" * 500)]
 
 

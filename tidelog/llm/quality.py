@@ -1,7 +1,7 @@
 """Quality rules: written rules, then perplexity bands under a modified Kneser-Ney n-gram model.
 
 The model is over runs of ORDER bytes of UTF-8, one per language. Python workers count the runs of each batch and
-Spark adds them up over all documents that are references; lower orders, counts of counts, discounts and back-off
+Spark adds them up over the distinct texts of all documents that are references, so copies of a text count once; lower orders, counts of counts, discounts and back-off
 weights come from joins and aggregations of those counts (Chen and Goodman, 1998). References are all documents that
 pass the written rules, have at most one symbol for ten words, and mostly lower-case letters; none is sampled. The
 finished model is a sorted array of hashes for each order, with a probability or a back-off weight beside each. A hash
@@ -9,7 +9,7 @@ has HASH_BITS bits, so an array has at most 2^HASH_BITS entries however large th
 
 A document's score is its mean negative log probability for each byte, in thousandths of a nat. A language's band
 runs from BAND interquartile ranges below the references' lower quartile to as many above the upper one, from exact
-counts of all references' scores. Documents outside the band are rejected: above it what the language does not
+counts of the scores of the references' distinct texts. Documents outside the band are rejected: above it what the language does not
 look like (symbols, shouting, tables), below it what repeats itself.
 
 Defined results: null text has no words; null language is a language of its own; a language without references has no
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import discard, keep_rows, table, written
+from tidelog.llm.common import discard, free_shuffles, keep_rows, table, written
 
 ORDER = 5
 HASH_BITS = 24
@@ -140,6 +140,13 @@ def _tag(text: str, lang: str):
     return F.xxhash64(F.col(text), F.col(lang))
 
 
+def _distinct(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """doc_id (none), text, lang: each text of a language once. Copies meet in the partial aggregation, so none is hot."""
+    rows = docs.select(F.col(text).cast("binary").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    once = rows.groupBy("lang", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")).agg(F.first("text").alias("text"))
+    return once.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
+
+
 def _hashed(lang: str, kind: int, runs: np.ndarray, bits: int) -> np.ndarray:
     seed = int.from_bytes(hashlib.blake2b(f"{kind} {lang}".encode(), digest_size=8).digest(), "little")
     x = (runs.astype(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
@@ -162,8 +169,9 @@ def _hash_rows(bits: int):
 
 def model(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """kind -> sorted hashes and their values; kind 2k has probabilities of runs of k bytes, 2k + 1 weights of their contexts."""
-    counted = _text_columns(docs, text, doc_id, lang).mapInArrow(_counts(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    counted = _distinct(docs, text, lang).mapInArrow(_counts(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     now, out = written(counted, "counts"), {}
+    free_shuffles(docs.sparkSession)
     # Each order is a table of its own and comes to the driver on its own: short plans, and never two orders at once.
     for k in range(order, 0, -1):
         tally = now.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)))
@@ -245,8 +253,8 @@ def _scores(arrays, order: int, bits: int):
 
 
 def bands(scores: DataFrame, reach: float = BAND) -> DataFrame:
-    """lang, low, high: from exact quartiles of the references' scores."""
-    counts = scores.filter("reference").groupBy("lang", "milli").agg(F.count(F.lit(1)).alias("n"))
+    """lang, low, high: from exact quartiles of the scores of the references' distinct texts."""
+    counts = scores.filter("reference").select("lang", "milli", "tag").distinct().groupBy("lang", "milli").agg(F.count(F.lit(1)).alias("n"))
     so_far, all_ = Window.partitionBy("lang").orderBy("milli"), Window.partitionBy("lang")
     counts = counts.withColumn("to", F.sum("n").over(so_far)).withColumn("total", F.sum("n").over(all_))
     quarters = counts.groupBy("lang").agg(*(F.min(F.when(F.col("to") * 4 >= F.col("total") * q, F.col("milli"))).alias(f"q{q}") for q in (1, 3)))
