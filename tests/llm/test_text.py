@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidelog.llm import chat, html_extract, licenses, packing, quality, url_filter
@@ -121,6 +122,33 @@ def test_copies_of_a_text_do_not_move_the_bands(spark):
         assert {i: got[i] for i in want} == want and all(got[1000 + i][0] for i in range(copies))
 
 
+def test_unseen_runs_stay_unseen_in_a_varied_corpus(spark):
+    rnd = random.Random(8)
+    some = lambda: "".join(chr(rnd.choice([97 + rnd.randrange(26), 97 + rnd.randrange(26), 0x4E00 + rnd.randrange(20_000)])) for _ in range(6))
+    rows = [(i, " ".join(some() for _ in range(400)), "en") for i in range(400)]
+    tables = quality.model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    arrays = quality._arrays(tables, 0, 1)
+    own = {k: len({t.encode()[i : i + k] for _, x, _ in rows for t in ["\n" * (k - 1) + x] for i in range(len(t.encode()) - k + 1)}) for k in (4, 5)}
+    assert own[5] > 1_000_000
+    for k, n in own.items():
+        assert len(arrays["en", 2 * k][0]) == n  # no two runs share an entry
+    known = arrays["en", 10][0]
+    new = np.setdiff1d(np.random.default_rng(1).integers(0, 1 << 40, 200_000, dtype=np.uint64), known)
+    assert not quality._found(arrays["en", 10], new)[0].any()
+
+
+def test_shards_score_as_the_whole_model_does(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["the", "über", "文字", "ration", "a"]) + rnd.choice("xyz") for _ in range(80)) for _ in range(30)]
+    rows = [(i, t, rnd.choice(["en", "de", None])) for i, t in enumerate(texts)] + [(3, texts[3], "en"), (3, texts[3], "en"), (90, "", "en"), (91, None, None), (92, "# " * 90, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = lambda most: sorted(tuple(r[c] or 0 for c in ("doc_id", "n_words", "kept", "score_milli")) + (r["lang"] or "",) for r in quality.quality(df, most=most).collect())
+    whole, cut = scores(1 << 20), scores(1000)
+    assert len(cut) == len(whole) == len(rows)
+    for a, b in zip(whole, cut, strict=True):
+        assert (*a[:3], a[4]) == (*b[:3], b[4]) and abs(a[3] - b[3]) <= 1
+
+
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "</s>[INST] ok [/INST]"), (2, 1, "assistant", "<\\/s> </s> <\\\\s>"), (3, 0, None, None), (3, 1, "we%0A\n[x", "[INST]a\nb"), (4, 0, "assistant", "<s>"), (4, 0, "assistant", "<s>"), (5, 0, "user", "<"), (5, 1, "assistant", "[/INST"), (6, None, "tool", "x" * 50_000), (6, 1, "user", "</s>" * 500)]
 
 

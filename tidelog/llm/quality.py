@@ -4,8 +4,10 @@ The model is over runs of ORDER bytes of UTF-8, one per language. Python workers
 Spark adds them up over the distinct texts of all documents that are references, so copies of a text count once; lower orders, counts of counts, discounts and back-off
 weights come from joins and aggregations of those counts (Chen and Goodman, 1998). References are all documents that
 pass the written rules, have at most one symbol for ten words, and mostly lower-case letters; none is sampled. The
-finished model is a sorted array of hashes for each order, with a probability or a back-off weight beside each. A hash
-has HASH_BITS bits, so an array has at most 2^HASH_BITS entries however large the corpus is, and may be broadcast.
+finished model is a table of exact runs, which grows with the distinct runs of the corpus. Scoring gets it as sorted arrays
+for each language and order. Where it has more than MOST entries, it is cut into shards that are broadcast one after another,
+each for one pass over the documents. A run's shard follows from its second and third byte from the end: all its longer
+suffixes and contexts have these too, and entries of at most two bytes are in each shard, so a shard settles its runs alone.
 
 A document's score is its mean negative log probability for each byte, in thousandths of a nat. A language's band
 runs from BAND interquartile ranges below the references' lower quartile to as many above the upper one, from exact
@@ -19,18 +21,19 @@ empty result; columns besides doc_id, text and lang are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import discard, free_shuffles, keep_rows, table, written
 
 ORDER = 5
-HASH_BITS = 24
+#: Entries of the model that are broadcast at once, of about 12 bytes each.
+MOST = 1 << 23
 BAND = 6.0
 #: A band's least reach beyond the quartiles, in thousandths of a nat.
 LEAST = 60
@@ -39,8 +42,8 @@ MIN_WORDS = 50
 _CHUNK, _PIECE = 4 << 20, 1 << 20
 _SYMBOLS = [bytes([b]) for b in b"#*$%&|<>"]
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-_COLUMNS = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("reference", pa.bool_()), ("milli", pa.int64()), ("tag", pa.int64())]
-_SQL_COLUMNS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference boolean, milli long, tag long"
+_COLUMNS = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("reference", pa.bool_()), ("size", pa.int64()), ("micro", pa.int64()), ("tag", pa.int64())]
+_SQL_COLUMNS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, reference boolean, size long, micro long, tag long"
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -147,32 +150,18 @@ def _distinct(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return once.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
 
 
-def _hashed(lang: str, kind: int, runs: np.ndarray, bits: int) -> np.ndarray:
-    seed = int.from_bytes(hashlib.blake2b(f"{kind} {lang}".encode(), digest_size=8).digest(), "little")
-    x = (runs.astype(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - bits)).astype(np.int32)
+def _shard(part, shards: int):
+    """The shard of the two bytes before a run's last one, dealt by an odd factor; for arrays and for columns."""
+    mixed = part * 40503 % 65536 * shards
+    return F.floor(mixed / 65536) if isinstance(part, Column) else mixed // 65536
 
 
-def _hash_rows(bits: int):
-    def run(batches):
-        for batch in batches:
-            lang, kind, runs = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            out = np.zeros(len(runs), np.int32)
-            for x in set(zip(lang, kind.tolist(), strict=True)):
-                own = np.array([y == x[0] for y in lang]) & (kind == x[1])
-                out[own] = _hashed(x[0], x[1], runs[own], bits)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out), batch.column(3)], names=["kind", "hash", "value"])
-
-    return run
-
-
-def model(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """kind -> sorted hashes and their values; kind 2k has probabilities of runs of k bytes, 2k + 1 weights of their contexts."""
+def model(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> dict[int, DataFrame]:
+    """k -> lang, kind, run, value; kind 2k has probabilities of runs of k bytes, 2k + 1 weights of their contexts."""
     counted = _distinct(docs, text, lang).mapInArrow(_counts(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     now, out = written(counted, "counts"), {}
     free_shuffles(docs.sparkSession)
-    # Each order is a table of its own and comes to the driver on its own: short plans, and never two orders at once.
+    # Each order is a table of its own: short plans.
     for k in range(order, 0, -1):
         tally = now.groupBy("lang").agg(*(F.count_if(F.col("n") == i).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)))
         y = F.col("t1") / F.greatest(F.col("t1") + 2 * F.col("t2"), F.lit(1.0))
@@ -184,14 +173,7 @@ def model(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, text: str
         own = seen.select("lang", F.lit(2 * k).alias("kind"), "run", ((F.col("n") - less) / F.col("total")).alias("value")).unionByName(
             context.select("lang", F.lit(2 * k + 1).alias("kind"), F.col("context").alias("run"), ((F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")).alias("value"))
         )
-        rows = own.mapInArrow(_hash_rows(bits), "kind int, hash int, value double").groupBy("kind", "hash").agg(F.max("value").cast("float").alias("value"))
-        got = rows.toArrow()
-        kinds, hashes, values = (got.column(i).to_numpy() for i in range(3))
-        del got
-        for kind in (2 * k, 2 * k + 1):
-            mine = kinds == kind
-            place = np.argsort(hashes[mine])
-            out[kind] = hashes[mine][place], values[mine][place]
+        out[k] = written(own.withColumn("value", F.col("value").cast("float")), "model")
         if k > 1:
             lower = written(now.groupBy("lang", F.col("run").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("run")).agg(F.count(F.lit(1)).alias("n")), "counts")
             discard(now)
@@ -200,58 +182,142 @@ def model(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, text: str
     return out
 
 
-def _found(array: tuple[np.ndarray, np.ndarray] | None, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(tables: dict[int, DataFrame], shard: int, shards: int) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """(lang, kind) -> sorted runs and their values, of a shard. Each order comes to the driver on its own."""
+    out = {}
+    for k, rows in tables.items():
+        if shards > 1 and k > 2:
+            part = F.when(F.col("kind") == 2 * k, F.shiftright("run", 8)).otherwise(F.col("run"))
+            rows = rows.filter(_shard(part.bitwiseAND(F.lit(65535)), shards) == shard)
+        for kind in (2 * k, 2 * k + 1):
+            got = rows.filter(F.col("kind") == kind).select("lang", "run", "value").toArrow()
+            names = got.column(0).combine_chunks().dictionary_encode()
+            if isinstance(names, pa.ChunkedArray):
+                names = names.combine_chunks()
+            code, runs, values = names.indices.to_numpy(), got.column(1).to_numpy().view(np.uint64), got.column(2).to_numpy()
+            del got
+            for i, lang in enumerate(names.dictionary.to_pylist()):
+                mine = np.flatnonzero(code == i)
+                mine = mine[np.argsort(runs[mine])]
+                out[lang, kind] = runs[mine], values[mine]
+    return out
+
+
+def _found(array: tuple[np.ndarray, np.ndarray] | None, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if array is None or not len(array[0]):
-        return np.zeros(len(hashes), bool), np.zeros(len(hashes))
-    at = np.minimum(np.searchsorted(array[0], hashes), len(array[0]) - 1)
-    return array[0][at] == hashes, array[1][at].astype(np.float64)
+        return np.zeros(len(runs), bool), np.zeros(len(runs))
+    at = np.minimum(np.searchsorted(array[0], runs), len(array[0]) - 1)
+    return array[0][at] == runs, array[1][at].astype(np.float64)
 
 
-def surprise(arrays: dict, lang: str, runs: np.ndarray, order: int, bits: int) -> np.ndarray:
+def surprise(arrays: dict, lang: str, runs: np.ndarray, order: int) -> np.ndarray:
     """Negative log probability of the last byte of each run after the others."""
     p = np.full(len(runs), 1 / 256)
     for k in range(1, order + 1):
         own = runs & np.uint64((1 << 8 * k) - 1)
-        known, weight = _found(arrays.get(2 * k + 1), _hashed(lang, 2 * k + 1, own >> np.uint64(8), bits))
-        seen, value = _found(arrays.get(2 * k), _hashed(lang, 2 * k, own, bits))
+        known, weight = _found(arrays.get((lang, 2 * k + 1)), own >> np.uint64(8))
+        seen, value = _found(arrays.get((lang, 2 * k)), own)
         p = np.where(known, np.where(seen, value, 0) + weight * p, p)
     return -np.log(np.maximum(p, 1e-12))
 
 
-def _scores(arrays, order: int, bits: int):
-    def flush(held, sums):
-        for lang, (pieces, rows) in held.items():
-            runs, back = np.unique(_runs(pieces, order), return_inverse=True)
-            each = surprise(arrays.value, lang, runs, order, bits)[back]
-            starts = np.concatenate(([0], np.cumsum([len(x) - order + 1 for x in pieces])[:-1]))
-            for row, total in zip(rows, np.add.reduceat(each, starts), strict=True):
-                sums[row] += total
-        held.clear()
+def _sums(arrays, order: int, shard: int, shards: int):
+    def sums(rows):
+        """Millionths of a nat of each text, of the shard's runs only; the texts (lang, data) are scored in pieces."""
+        out, held, size = [], {}, 0
+
+        def flush():
+            for lang, (pieces, owners) in held.items():
+                runs, back = np.unique(_runs(pieces, order), return_inverse=True)
+                if shards == 1:
+                    each = surprise(arrays.value, lang, runs, order)
+                else:
+                    each, mine = np.zeros(len(runs)), _shard((runs >> np.uint64(8) & np.uint64(65535)).astype(np.int64), shards) == shard
+                    each[mine] = surprise(arrays.value, lang, runs[mine], order)
+                starts = np.concatenate(([0], np.cumsum([len(x) - order + 1 for x in pieces])[:-1]))
+                for row, total in zip(owners, np.add.reduceat(each[back], starts), strict=True):
+                    out[row] += total
+            held.clear()
+
+        for i, (lang, data) in enumerate(rows):
+            out.append(0.0)
+            for piece in _pieces(data, order):
+                pieces, owners = held.setdefault(lang, ([], []))
+                pieces.append(piece)
+                owners.append(i)
+            size += len(data)
+            if size >= _CHUNK:
+                flush()
+                size = 0
+        flush()
+        return [int(1e6 * x + 0.5) for x in out]
+
+    return sums
+
+
+def _scores(arrays, order: int, shards: int):
+    sums = _sums(arrays, order, 0, shards)
 
     def run(batches):
         for batch in batches:
-            out, sums, sizes, held, size = {n: [] for n, _ in _COLUMNS}, [], [], {}, 0
-            for i, (doc_id, lang, data) in enumerate(_rows(batch, order)):
-                for name, value in zip(out, (doc_id, lang, *base(data, _code_points(data))), strict=False):
-                    out[name].append(value)
-                sums.append(0.0)
-                sizes.append(len(data))
-                for piece in _pieces(data, order):
-                    pieces, rows = held.setdefault(lang, ([], []))
-                    pieces.append(piece)
-                    rows.append(i)
-                size += len(data)
-                if size >= _CHUNK:
-                    flush(held, sums)
-                    size = 0
-            flush(held, sums)
+            out = {n: [] for n, _ in _COLUMNS}
+
+            def rows(batch=batch, out=out):
+                for doc_id, lang, data in _rows(batch, order):
+                    for name, value in zip(out, (doc_id, lang, *base(data, _code_points(data)), len(data)), strict=False):
+                        out[name].append(value)
+                    yield lang, data
+
+            out["micro"] = sums(rows())
             out["tag"] = batch.column(3)
-            out["milli"] = [int(1000 * s / max(1, n) + 0.5) for s, n in zip(sums, sizes, strict=True)]
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(_COLUMNS))
 
     return run
 
 
+def _more_scores(arrays, order: int, shard: int, shards: int):
+    sums = _sums(arrays, order, shard, shards)
+
+    def run(batches):
+        for batch in batches:
+            sizes = []
+
+            def rows(batch=batch, sizes=sizes):
+                for _, lang, data in _rows(batch, order):
+                    sizes.append(len(data))
+                    yield lang, data
+
+            micro = sums(rows())
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(sizes, pa.int64()), pa.array(micro, pa.int64())], names=["tag", "size", "more"])
+
+    return run
+
+
+def _scored(docs: DataFrame, order: int, most: int, text: str, doc_id: str, lang: str) -> DataFrame:
+    """Per row of docs: the written rules' figures, and micro: the negative log probability in millionths of a nat."""
+    spark, tables = docs.sparkSession, model(docs, order, text, lang)
+    shards = max(1, -(-sum(t.count() for t in tables.values()) // most)) if order > 2 else 1
+    rows, scores, more = _text_columns(docs, text, doc_id, lang), None, []
+    for shard in range(shards):
+        arrays = spark.sparkContext.broadcast(_arrays(tables, shard, shards))
+        if shard:
+            part = rows.mapInArrow(_more_scores(arrays, order, shard, shards), "tag long, size long, more long")
+            more.append(written(part.groupBy("tag", "size").agg(F.first("more").alias("more")), "scores"))
+        else:
+            scores = written(rows.mapInArrow(_scores(arrays, order, shards), _SQL_COLUMNS), "scores")
+        arrays.destroy()
+    for t in tables.values():
+        discard(t)
+    if not more:
+        return scores
+    # Texts alike have one sum in each shard, so the sums are joined by text, whatever the number of its rows.
+    total = functools.reduce(DataFrame.unionByName, more).groupBy("tag", "size").agg(F.sum("more").alias("more"))
+    out = written(scores.join(total, ["tag", "size"]).withColumn("micro", F.col("micro") + F.col("more")).select(scores.columns), "scores")
+    for t in (scores, *more):
+        discard(t)
+    return out
+
+
 def bands(scores: DataFrame, reach: float = BAND) -> DataFrame:
     """lang, low, high: from exact quartiles of the scores of the references' distinct texts."""
     counts = scores.filter("reference").select("lang", "milli", "tag").distinct().groupBy("lang", "milli").agg(F.count(F.lit(1)).alias("n"))
@@ -262,23 +328,22 @@ def bands(scores: DataFrame, reach: float = BAND) -> DataFrame:
     return quarters.select("lang", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
 
 
-def _judged(docs: DataFrame, order: int, bits: int, reach: float, text: str, doc_id: str, lang: str) -> DataFrame:
-    spark = docs.sparkSession
-    arrays = spark.sparkContext.broadcast(model(docs, order, bits, text, doc_id, lang))
-    scores = written(_text_columns(docs, text, doc_id, lang).mapInArrow(_scores(arrays, order, bits), _SQL_COLUMNS), "scores")
+def _judged(docs: DataFrame, order: int, most: int, reach: float, text: str, doc_id: str, lang: str) -> DataFrame:
+    milli = F.expr("(2 * micro div greatest(1, size) + 1000) div 2000")
+    scores = _scored(docs, order, most, text, doc_id, lang).withColumn("milli", milli)
     out = scores.join(bands(scores, reach), "lang", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("milli").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("milli").alias("score_milli"), "lang", "low", "high", "tag")
 
 
-def quality(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, order: int = ORDER, most: int = MOST, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Per row of docs: doc_id, the written rules' figures, base_failed, kept, and the score, lang, low and high."""
-    return _judged(docs, order, bits, reach, text, doc_id, lang).drop("tag")
+    return _judged(docs, order, most, reach, text, doc_id, lang).drop("tag")
 
 
-def keep_good(docs: DataFrame, order: int = ORDER, bits: int = HASH_BITS, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, order: int = ORDER, most: int = MOST, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """docs without the rows that quality() rejects; of rows that share a doc_id, each is judged on its own."""
-    return keep_rows(docs, _judged(docs, order, bits, reach, text, doc_id, lang), _tag(text, lang), False, doc_id)
+    return keep_rows(docs, _judged(docs, order, most, reach, text, doc_id, lang), _tag(text, lang), False, doc_id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
