@@ -50,6 +50,17 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert len(cut) == len(rows)
 
 
+def test_a_short_article_loses_the_site_text_that_outweighs_it(spark):
+    site = "".join(f"<div>menu entry or notice number {i} of this site</div>" for i in range(9))
+    long = "".join(f"<div>sentence {i} of an article that two pages carry</div>" for i in range(20))
+    page = lambda body: f"{site}{body}<div>Call us</div>"
+    rows = [(i, f"http://h/a/{i}", page(f"<div>short text {i}</div>")) for i in range(1, 4)] + [(11, "http://k/1", page(long)), (12, "http://k/2", page(long)), (13, "http://k/3", page("<div>other</div>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert [got[i] for i in (1, 2, 3, 13)] == ["short text 1", "short text 2", "short text 3", "other"]
+    assert got[12].split("\n") == [f"sentence {i} of an article that two pages carry" for i in range(20)]
+
+
 def test_url_rules(spark):
     urls = {"http://A.Net/x": ("a.net", "/x", "net/", "block"), "https://b.example.net/en/1?q": ("b.example.net", "/en/1", "example.net/en/", "allow"), "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"), "http://example.com/de/y#z": ("example.com", "/de/y", "example.com/de/", "block"), "http://x.org/fr/": ("x.org", "/fr/", "org/fr/", "allow"), "nothing": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://q.org?a=/fr/": ("q.org", "", None, "allow")}
     df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")

@@ -6,7 +6,9 @@ forms, notices, adverts and comments are left out by element, role or class; blo
 element) is settled by differencing: pages of one host are sorted by URL path, each is paired with the neighbour whose path
 shares the longer prefix, the two pages' lines are aligned by longest common subsequence, and open lines that both have are
 deleted as the site's own. Lines of a main element vote but aren't deleted: copies of an article on one host share
-them all. Where over half of a page's open text is shared, the pair are copies too, and nothing is deleted.
+them all. Where over half of a page's open text is shared, the pair may be copies, or the site's text outweighs a short
+article; then the neighbour on the other side decides: of the shared lines, those that it has too are the site's own. Without
+such a neighbour all shared lines go. Where no line would be left, the page is a copy of both and nothing is deleted.
 
 Lines are aligned by their n-th occurrence, so that the longest common subsequence is a longest increasing one: n log n
 steps even for pages that repeat one line. A host with more pages than a cell may have is cut into cells by a hash of the
@@ -169,13 +171,15 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def settled(lines: list[str], is_main: list[bool], other: list[str] | None, copy: float = COPY) -> str:
-    """A page's text, given its blocks and its neighbour's."""
+def settled(lines: list[str], is_main: list[bool], other: list[str] | None, copy: float = COPY, further: list[str] | None = None) -> str:
+    """A page's text, given its blocks, its neighbour's, and those of the neighbour on the other side."""
     if any(is_main):
         return "\n".join(x for x, m in zip(lines, is_main, strict=True) if m)
     if other:
         shared = shared_lines(lines, other)
-        if sum(len(lines[i]) for i in shared) <= copy * sum(map(len, lines)):
+        if further and sum(len(lines[i]) for i in shared) > copy * sum(map(len, lines)):
+            shared &= shared_lines(lines, further)
+        if len(shared) < len(lines):
             lines = [x for i, x in enumerate(lines) if i not in shared]
     return "\n".join(lines)
 
@@ -192,14 +196,14 @@ def _parsed(batches):
 
 
 def _paired(copy: float):
-    def row(page, other):
-        text = settled(page["lines"], page["is_main"], other and other["lines"], copy)
+    def row(page, other, further):
+        text = settled(page["lines"], page["is_main"], other and other["lines"], copy, further and further["lines"])
         return page["page_id"], page["url"], text, len(text)
 
     def near(page, a, b):
-        """The neighbour with the longer common prefix of the path, the one before in a tie."""
+        """The neighbours, the one with the longer common prefix of the path first, the one before in a tie."""
         common = lambda x: len(os.path.commonprefix([x["path"], page["path"]])) if x else -1
-        return a if common(a) >= common(b) else b
+        return (a, b) if common(a) >= common(b) else (b, a)
 
     def run(batches):
         before = page = None
@@ -213,14 +217,14 @@ def _paired(copy: float):
                 for x in batch.slice(at, 256).to_pylist():
                     same = page is not None and (x["host"], x["cell"]) == (page["host"], page["cell"])
                     if page is not None:
-                        rows.append(row(page, near(page, before, x if same else None)))
+                        rows.append(row(page, *near(page, before, x if same else None)))
                         size += rows[-1][3]
                         if size > 4 << 20:
                             yield batch_of(rows)
                             rows, size = [], 0
                     before, page = page if same else None, x
         if page is not None:
-            rows.append(row(page, before))
+            rows.append(row(page, before, None))
         yield batch_of(rows)
 
     return run
