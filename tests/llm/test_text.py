@@ -61,6 +61,19 @@ def test_a_short_article_loses_the_site_text_that_outweighs_it(spark):
     assert got[12].split("\n") == [f"sentence {i} of an article that two pages carry" for i in range(20)]
 
 
+def test_pages_of_a_large_host_meet_their_true_neighbours(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(300):
+        section, site = rnd.randrange(40), rnd.choice(["big", "big", "big", "small"])
+        rows.append((i, f"http://{site}/{section:02}/{rnd.randrange(1000)}", f"<div>template of section {section}</div><div>an article of its own, number {i}, long enough to outweigh it</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, cut, cuts = ({r["page_id"]: r["text"] for r in html_extract.extract(df, cell=n).collect()} for n in (1000, 7, 1))
+    assert cut == whole == cuts and len(whole) == 300
+    alone = Counter(r[1].rsplit("/", 1)[0] for r in rows)
+    assert all(len(whole[i].split("\n")) == (2 if alone[u.rsplit("/", 1)[0]] == 1 else 1) for i, u, _ in rows)
+
+
 def test_url_rules(spark):
     urls = {"http://A.Net/x": ("a.net", "/x", "net/", "block"), "https://b.example.net/en/1?q": ("b.example.net", "/en/1", "example.net/en/", "allow"), "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"), "http://example.com/de/y#z": ("example.com", "/de/y", "example.com/de/", "block"), "http://x.org/fr/": ("x.org", "/fr/", "org/fr/", "allow"), "nothing": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://q.org?a=/fr/": ("q.org", "", None, "allow")}
     df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")

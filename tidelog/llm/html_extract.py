@@ -7,13 +7,15 @@ element) is settled by differencing: pages of one host are sorted by URL path, e
 shares the longer prefix, the two pages' lines are aligned by longest common subsequence, and open lines that both have are
 deleted as the site's own. Lines of a main element vote but aren't deleted: copies of an article on one host share
 them all. Where over half of a page's open text is shared, the pair may be copies, or the site's text outweighs a short
-article; then the neighbour on the other side decides: of the shared lines, those that it has too are the site's own. Without
-such a neighbour all shared lines go. Where no line would be left, the page is a copy of both and nothing is deleted.
+article; then the neighbour on the other side (of a host's first and last page, the next but one) decides: of the shared lines, those
+that it has too are the site's own. On a host of two pages all shared lines go. Where no line would be left, the page is a copy
+of both and nothing is deleted.
 
 Lines are aligned by their n-th occurrence, so that the longest common subsequence is a longest increasing one: n log n
-steps even for pages that repeat one line. A host with more pages than a cell may have is cut into cells by a hash of the
-path; a page's neighbour is then the nearest of its cell. The cell size follows the number of all pages, so at most
-CELLS hosts are cut and their counts may be broadcast. Pages are parsed before the shuffle: only their text is shuffled.
+steps even for pages that repeat one line. All pages are cut into ranges of host and path, so that a large host is split
+and order is kept; the two pages on either side of a cut are sent to both ranges, so a page meets its true neighbours wherever
+the cuts are. A sample only places the cuts. There are at most about CELLS of them, and the driver has their keys. Pages are parsed
+before the shuffle: only their text is shuffled.
 
 Defined results: null html has the empty text; a null URL or one without :// has an empty host and its pages are paired
 among themselves; rows that repeat a page_id are pages of their own; a page without neighbours keeps its open lines; an
@@ -25,17 +27,17 @@ from __future__ import annotations
 import html as _html
 import os.path
 import re
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict, deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
 from tidelog.llm.url_filter import host_of, path_of
 
-#: A host's pages go to one cell up to this many, or to one in CELLS of all pages if that is more.
+#: A range has about so many pages, or one in CELLS of all pages if that is more.
 CELL, CELLS = 64, 10_000
 COPY = 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*+>", re.S)
@@ -172,7 +174,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def settled(lines: list[str], is_main: list[bool], other: list[str] | None, copy: float = COPY, further: list[str] | None = None) -> str:
-    """A page's text, given its blocks, its neighbour's, and those of the neighbour on the other side."""
+    """A page's text, given its blocks, its neighbour's, and those of a further neighbour."""
     if any(is_main):
         return "\n".join(x for x, m in zip(lines, is_main, strict=True) if m)
     if other:
@@ -184,62 +186,110 @@ def settled(lines: list[str], is_main: list[bool], other: list[str] | None, copy
     return "\n".join(lines)
 
 
-def _parsed(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            found = [blocks(x) if x else [] for x in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(n) for n in ("page_id", "url", "host", "path", "cell")), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))],
-                names=["page_id", "url", "host", "path", "cell", "lines", "is_main"],
-            )
+def _key(row) -> tuple:
+    """The order of pages: as Spark sorts _KEYS, with nulls first."""
+    host, path, page_id, url, tag = row
+    return host, path, page_id is not None, page_id or 0, url or "", tag
+
+
+_KEYS = ["host", "path", "page_id", "url", "tag"]
+
+
+def _ranges(cuts):
+    """Keys with their range."""
+
+    def run(batches):
+        for batch in batches:
+            keys = zip(*(batch.column(n).to_pylist() for n in _KEYS), strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in _KEYS), pa.array([bisect_right(cuts.value, _key(k)) for k in keys], pa.int64())], names=[*_KEYS, "cell"])
+
+    return run
+
+
+def _parsed(cuts, also):
+    """Pages with lines, in their range and, as own = false, in those of which they are neighbours."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [blocks(x) if x else [] for x in part.column("html").to_pylist()]
+                keys = [_key(k) for k in zip(*(part.column(n).to_pylist() for n in _KEYS), strict=True)]
+                places = [(i, cell, n == 0) for i, k in enumerate(keys) for n, cell in enumerate((bisect_right(cuts.value, k), *also.value.get(k, ())))]
+                rows = pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in _KEYS), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[m for _, m in f] for f in found], pa.list_(pa.bool_()))],
+                    names=[*_KEYS, "lines", "is_main"],
+                ).take(pa.array([i for i, _, _ in places], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([c for _, c, _ in places], pa.int64()), pa.array([o for _, _, o in places], pa.bool_())], names=[*_KEYS, "lines", "is_main", "cell", "own"])
+
+    return run
 
 
 def _paired(copy: float):
-    def row(page, other, further):
+    def row(page, around):
+        """around: the two pages before and the two after it, None where the host has none."""
+        common = lambda x: len(os.path.commonprefix([x["path"], page["path"]])) if x else -1
+        second, before, after, next_but_one = around
+        # The neighbour with the longer common prefix of the path, the one before in a tie.
+        other, further = (before, after or second) if common(before) >= common(after) else (after, before or next_but_one)
         text = settled(page["lines"], page["is_main"], other and other["lines"], copy, further and further["lines"])
         return page["page_id"], page["url"], text, len(text)
 
-    def near(page, a, b):
-        """The neighbours, the one with the longer common prefix of the path first, the one before in a tie."""
-        common = lambda x: len(os.path.commonprefix([x["path"], page["path"]])) if x else -1
-        return (a, b) if common(a) >= common(b) else (b, a)
+    def pages(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield from batch.slice(at, 256).to_pylist()
+        yield from (None, None)
 
     def run(batches):
-        before = page = None
-        rows, size = [], 0
+        rows, size, held = [], 0, deque([None] * 5, 5)
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for x in batch.slice(at, 256).to_pylist():
-                    same = page is not None and (x["host"], x["cell"]) == (page["host"], page["cell"])
-                    if page is not None:
-                        rows.append(row(page, *near(page, before, x if same else None)))
-                        size += rows[-1][3]
-                        if size > 4 << 20:
-                            yield batch_of(rows)
-                            rows, size = [], 0
-                    before, page = page if same else None, x
-        if page is not None:
-            rows.append(row(page, before, None))
+        for x in pages(batches):
+            held.append(x)
+            page = held[2]
+            if page is not None and page["own"]:
+                same = [x if x is not None and (x["cell"], x["host"]) == (page["cell"], page["host"]) else None for x in held]
+                rows.append(row(page, (*same[:2], *same[3:])))
+                size += rows[-1][3]
+                if size > 4 << 20:
+                    yield batch_of(rows)
+                    rows, size = [], 0
         yield batch_of(rows)
 
     return run
 
 
+def _neighbours(keys: DataFrame, cuts) -> dict[tuple, list[int]]:
+    """Keys of the two pages on either side of each cut -> the ranges that they are neighbours of, besides their own."""
+    order = [F.col("host"), F.col("path"), F.col("page_id"), F.coalesce("url", F.lit("")), F.col("tag")]
+    dealt = keys.mapInArrow(_ranges(cuts), "host string, path string, page_id long, url string, tag long, cell long")
+    numbered = dealt.withColumns({"first": F.row_number().over(Window.partitionBy("cell").orderBy(*order)), "n": F.count(F.lit(1)).over(Window.partitionBy("cell"))})
+    edges = sorted((_key(r[:5]), r["cell"]) for r in numbered.filter("first <= 2 OR first > n - 2").collect())
+    at = [k for k, _ in edges]
+    out = defaultdict(set)
+    for i, cut in enumerate(cuts.value):
+        j = bisect_left(at, cut)  # range i ends before the cut, range i + 1 starts with it
+        for k, cell in edges[max(0, j - 2) : j]:
+            out[k] |= {i + 1} - {cell}
+        for k, cell in edges[j : j + 2]:
+            out[k] |= {i} - {cell}
+    return {k: sorted(v) for k, v in out.items() if v}
+
+
 def extract(pages: DataFrame, cell: int = CELL, copy: float = COPY, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars."""
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).cast("string").alias("html"))
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    most = max(cell, -(-pages.count() // CELLS))
-    large = counts.filter(F.col("n") > most).select("host", F.ceil(F.col("n") / most).alias("cells"))
-    # At most CELLS hosts have more than one in CELLS of all pages.
-    rows = rows.join(F.broadcast(large), "host", "left").withColumn("cell", F.pmod(F.xxhash64("path"), F.coalesce("cells", F.lit(1))))
-    lines = rows.select("page_id", "url", "host", "path", "cell", "html").mapInArrow(_parsed, "page_id long, url string, host string, path string, cell long, lines array<string>, is_main array<boolean>")
-    return lines.repartition("host", "cell").sortWithinPartitions("host", "cell", "path", "page_id", "url").mapInArrow(_paired(copy), "page_id long, url string, text string, n_chars long")
+    spark = pages.sparkSession
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).cast("string").alias("html"), F.xxhash64(html).alias("tag"))
+    keys, total = rows.select(*_KEYS), pages.count()
+    n = max(1, min(CELLS, total // max(1, cell)))
+    found = sorted({_key(r) for r in (keys.sample(min(1.0, 16 * n / total), 1) if 16 * n < total else keys).collect()}) if n > 1 else []
+    cuts = spark.sparkContext.broadcast(sorted({found[len(found) * i // n] for i in range(1, n)}) if found else [])
+    also = spark.sparkContext.broadcast(_neighbours(keys, cuts) if cuts.value else {})
+    lines = rows.select(*_KEYS, "html").mapInArrow(_parsed(cuts, also), "host string, path string, page_id long, url string, tag long, lines array<string>, is_main array<boolean>, cell long, own boolean")
+    return lines.repartition("cell").sortWithinPartitions("cell", "host", "path", "page_id", F.coalesce("url", F.lit("")), "tag").mapInArrow(_paired(copy), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
