@@ -202,3 +202,12 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_guard_returns_every_path(spark):
+    from tidelog.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").count()
+    got = paths(QUERIES["exists_guard_all"](spark, sf))
+    assert len(got) == docs > 50 and any(p.startswith("src3/") for p in got)

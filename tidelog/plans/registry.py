@@ -122,6 +122,9 @@ query("last_path", _with(a.TREE) + "SELECT max(path) AS path FROM tree")(lambda
 query("exists_guard", _with(a.TREE) + "SELECT path FROM tree WHERE EXISTS (SELECT 1 FROM tree WHERE starts_with(path, 'src3/')) AND doc_id < 50")(
     lambda s, d: a.tree(s, d).filter("doc_id < 50").crossJoin(F.broadcast(a.tree(s, d).agg(F.bool_or(F.col("path").startswith("src3/")).alias("found")))).filter("found").select("path")
 )
+query("exists_guard_all", _with(a.TREE) + "SELECT path FROM tree WHERE EXISTS (SELECT 1 FROM tree WHERE starts_with(path, 'src3/'))")(
+    lambda s, d: a.tree(s, d).select("path").crossJoin(F.broadcast(a.tree(s, d).agg(F.bool_or(F.col("path").startswith("src3/")).alias("found")))).filter("found").select("path")
+)
 
 # --- fragments and blocks ------------------------------------------------------------------------------------------
 
