@@ -211,3 +211,15 @@ def test_guard_returns_every_path(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").count()
     got = paths(QUERIES["exists_guard_all"](spark, sf))
     assert len(got) == docs > 50 and any(p.startswith("src3/") for p in got)
+
+
+def test_whole_listings_are_ordered(spark):
+    from tidelog.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    size = {f"{r['source']}/{r['lang']}/{r['doc_id']}.txt": len(r["text"].encode()) for r in docs}
+    got = {r["path"]: r["n"] for r in QUERIES["order_by_ext_name_all"](spark, sf).collect()}
+    assert got == {p: i + 1 for i, p in enumerate(sorted(size, key=lambda p: (p.split(".")[1], p.split("/")[2], p)))}
+    got = {(r["path"], r["size"]): r["n"] for r in QUERIES["order_by_size_desc_all"](spark, sf).collect()}
+    assert got == {(p, size[p]): i + 1 for i, p in enumerate(sorted(size, key=lambda p: (-size[p], p)))} and len(got) > 50

@@ -96,3 +96,9 @@ def volumes(parts: DataFrame, size: int, order: str = "offset", length: str = "s
 
 def listing(tree: DataFrame, columns: list[str]) -> DataFrame:
     return tree.select(*columns).orderBy("path")
+
+
+def positions(rows: DataFrame, name: str = "n") -> DataFrame:
+    """Ordered rows with their position from 1: each partition counts on from those before it, so no task has all rows."""
+    out = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return rows.sparkSession.createDataFrame(out, rows.schema.add(name, "long"))

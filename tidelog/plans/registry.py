@@ -190,6 +190,8 @@ query("dir_sizes_depth1", _with(a.TREE) + "SELECT split_part(path, '/', 1) AS fo
 query("dir_sizes_cumulative", _with(a.TREE) + "SELECT folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT split_part(path, '/', 1) || '/' AS folder, size FROM tree UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/', size FROM tree) GROUP BY folder")(lambda s, d: report.folder_sizes_all(a.tree(s, d)))
 query("order_by_ext_name", _with(a.TREE) + "SELECT path, row_number() OVER (ORDER BY split_part(path, '.', 2), split_part(path, '/', 3), path) AS n FROM tree QUALIFY n <= 50")(lambda s, d: report.ordered(a.tree(s, d), "ext;name").limit(50).select("path", F.row_number().over(Window.orderBy(fn.extension(F.col("path")), fn.file_name(F.col("path")), "path")).cast("long").alias("n")))
 query("order_by_size_desc", _with(a.TREE) + "SELECT path, size FROM tree ORDER BY size DESC, path LIMIT 25")(lambda s, d: report.ordered(a.tree(s, d), "size", desc=True).limit(25).select("path", "size"))
+query("order_by_ext_name_all", _with(a.TREE) + "SELECT path, row_number() OVER (ORDER BY split_part(path, '.', 2), split_part(path, '/', 3), path) AS n FROM tree")(lambda s, d: report.positions(report.ordered(a.tree(s, d), "ext;name").select("path")))
+query("order_by_size_desc_all", _with(a.TREE) + "SELECT path, size, row_number() OVER (ORDER BY size DESC, path) AS n FROM tree")(lambda s, d: report.positions(report.ordered(a.tree(s, d), "size", desc=True).select("path", "size")))
 query("decimate_keep_newest", _with(a.LOG) + "SELECT path, seq FROM log ORDER BY mtime DESC, path LIMIT 40")(lambda s, d: report.newest(a.log(s, d), 40).select("path", "seq"))
 query("last2_rows", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS from_last FROM conversations QUALIFY from_last <= 2")(lambda s, d: report.last_rows(a.table(s, d, "conversations").select("conv_id", "turn"), "turn", "conv_id").withColumn("from_last", F.col("from_last").cast("long")))
 query("count_string", "SELECT CAST(sum((length(text) - length(replace(text, 'the', ''))) // 3) AS BIGINT) AS found, sum((length(text) - length(replace(text, 'the', ''))) // 3) = 1000 AS ok FROM documents")(lambda s, d: report.count_string(a.tree(s, d), "the", 1000))
