@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from tidelog.llm import bpe, token_coder, token_output
 
-TEXTS = ["", None, "a", " ", "  ", "   x", "a\n \nb", "a  \n", "tab\t\t x", "Ünïcode 漢字 😀  ok", "it's we'll 123 45", "\x1c \x85", "<|endoftext|> x", "word " * 3000, "z" * 3000, "a　  b"]
+TEXTS = ["", None, "a", " ", "  ", "   x", "a\n \nb", "a  \n", "tab\t\t x", "Ünïcode 漢字 😀  ok", "it's we'll 123 45", "\x1c \x85", "<|endoftext|> x", "a<|endoftext|>b c", "word " * 3000, "z" * 3000, "a　  b"]
 
 
 def frame(spark, texts=TEXTS):
@@ -56,14 +57,43 @@ def test_coder_finds_damage():
     data[-40] ^= 255
     with pytest.raises(ValueError):
         token_coder.decode(bytes(data))
+    data = bytearray(token_coder.encode(np.arange(5000) % 700))
+    data[40] ^= 255
     with pytest.raises(ValueError):
-        token_coder.encode(np.array([65535]))
+        token_coder.decode(bytes(data))
+    for bad in (-1, 1 << 32):
+        with pytest.raises(ValueError):
+            token_coder.encode(np.array([bad]))
+
+
+def test_coder_takes_ids_of_32_bits_and_beats_zlib():
+    rnd = np.random.default_rng(5)
+    wide = rnd.choice(rnd.integers(0, 1 << 32, 70_000), 150_000)
+    assert np.array_equal(token_coder.decode(token_coder.encode(wide)), wide)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    words = ["".join(rnd.choice(["the", "an", "re", "ti", "on", "sh"], rnd.integers(1, 4))) for _ in range(900)]
+    ids = np.array(library.encode(" ".join(rnd.choice(words, 60_000)), add_special_tokens=False).ids)
+    plain = sum(len(zlib.compress(ids[i : i + token_coder.BLOCK].astype("<u2").tobytes())) for i in range(0, len(ids), token_coder.BLOCK))
+    assert len(token_coder.encode(ids)) < 0.9 * plain
+
+
+def test_a_hot_doc_id_fills_several_shards(spark, tmp_path):
+    path, out = P.path("byte_bpe_50k.json"), f"file://{tmp_path}/hot"
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 300 + [(9, None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_output.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), out, path, frame=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_output.read_index(spark, out).collect()
+    assert len(got) == len(rows) and len({r["start"] for r in got}) == len(rows)
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None] * 300 + [7] * 300 + [9]
+    assert spark.read.parquet(out).filter("array_contains(doc_ids, 7)").select("shard").distinct().count() > 1
 
 
 def test_token_files(spark, tmp_path):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = TEXTS + random_texts(300, 2)
     out = f"file://{tmp_path}/ids"
     token_output.write(frame(spark, texts), out, path, frame=500)
@@ -78,13 +108,14 @@ def test_token_files(spark, tmp_path):
 def test_tokens_are_as_the_library_has_them():
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     with open(path, "rb") as f:
         own = token_output.Tokens(f.read())
     texts = [t or "" for t in TEXTS] + random_texts(5000, 3)
     for part in (texts[:40], texts[40:], texts):  # with an empty store, a partly filled one, and one that knows all
-        got = [np.frombuffer(x, "<u2").tolist() for x in own.encode_batch(part)]
-        assert got == [library.encode(t, add_special_tokens=False).ids for t in part]
+        ids, n = own.encode(pa.array(part, pa.string()))
+        want = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+        assert sum(x.count(50256) for x in want) >= 2  # the library makes tokens of their strings
 
 
 def test_token_files_of_nothing(spark, tmp_path):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
-from tidelog.llm.pretokens import Chunks, grouped
+from tidelog.llm.pretokens import Chunks, gathered, slices
 
 _OFFSET = 0x100
 _MAP = {b: chr(_OFFSET + b) for b in range(256)}
@@ -78,11 +78,13 @@ class ByteBPE:
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.ranks = ranks
-        self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        tokens = sorted(ranks, key=ranks.get)
+        self.bytes, self.sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.pieces: dict[str, bytes] = {}
         self.chunks = Chunks(self._encode)
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         splits = [self.split(c) for c in chunks]
         if len(self.pieces) > 400_000:
             self.pieces = {}
@@ -98,17 +100,24 @@ class ByteBPE:
         if new:
             for (p, _), ids in zip(new, self.model.encode([m for _, m in new], out_type=int, num_threads=1), strict=True):
                 pieces[p] = np.array(ids, "<u4").tobytes()
-        return [b"".join([pieces[p] for p in s]) for s in splits]
+        found = [b"".join([pieces[p] for p in s]) for s in splits]
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids side by side, and how many each has."""
         return self.chunks.ids(texts)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
+        return self.encode_batch(pa.array([text], pa.string()))[0].tolist()
+
+    def decode_batch(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The bytes of each text: ids side by side, n of each."""
+        data, size = gathered(self.bytes, self.starts[ids], self.sizes[ids]).tobytes(), self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))].tolist()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return self.decode_batch(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 _MADE: dict[tuple[bytes, str], ByteBPE] = {}
@@ -121,17 +130,19 @@ def _made(ranks: dict[bytes, int], digest: bytes, pattern: str) -> ByteBPE:
     return _MADE[digest, pattern]
 
 
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
 def _tokenised(shared, digest: bytes, pattern: str):
     def run(batches):
-        bpe = _made(shared.value, digest, pattern)
+        bpe, sha = _made(shared.value, digest, pattern), hashlib.sha256
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for texts in grouped(x or "" for x in batch.column(1).to_pylist()):
-                for data in bpe.encode_batch(texts):
-                    n.append(len(data) // 4)
-                    ids_sha.append(hashlib.sha256(data).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(data, "<u4").tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for rows in slices(batch, 1):
+                ids, n = bpe.encode_batch(rows.column(1))
+                data, ends = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(n) * 4)).tolist()
+                of_ids = [sha(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                of_bytes = [sha(x).hexdigest() for x in bpe.decode_batch(ids, n)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(of_ids), pa.array(of_bytes)], schema=_DIGESTS)
 
     return run
 
@@ -140,8 +151,10 @@ def _encoded(shared, digest: bytes, pattern: str):
     def run(batches):
         bpe = _made(shared.value, digest, pattern)
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for texts in grouped(x or "" for x in batch.column(1).to_pylist()) for x in bpe.encode_batch(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for rows in slices(batch, 1):
+                ids, n = bpe.encode_batch(rows.column(1))
+                ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
     return run
 

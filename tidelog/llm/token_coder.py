@@ -1,15 +1,18 @@
 """An adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks of BLOCK ids. Each block starts from empty tables and carries a CRC-32 of its ids, so it can be
-decoded, checked and lost on its own. All blocks of a frame are coded side by side: each numpy operation does one step of
-every block.
-
-For each id there are three predictions: the id that last followed the two ids before it (order 2), the one that last
-followed the id before it (order 1), and the ids lately seen, in a small table by hash (order 0). The chance that the
-first of them is right is mixed in the logistic domain from the adaptive chances of orders 2 and 1, with weights that
-learn from the errors; the others have adaptive chances of their own. What comes true (order 2, order 1, order 0, or none)
-is coded as one of four intervals, then the place in the table of order 0 or the id itself. All arithmetic is on
-integers, so any machine decodes what another one wrote.
+A frame's ids are cut into blocks of BLOCK ids. Each block starts from the same state and carries a CRC-32 of its ids, so
+it can be decoded, checked and lost on its own, given the frame's head. All blocks of a frame are coded side by side:
+each numpy operation does one step of every block.
+
+The head has the state that blocks are reset to: the frame's ids with their frequencies, and the id that most often
+follows each of them. There are three predictions for each id: the id that last followed the two ids before it in its block
+(order 2), the one that most often follows the id before it (order 1), and the frequencies (order 0). The chance that
+order 2 is right is mixed in the logistic domain from the adaptive chances of orders 2 and 1, with weights that learn from
+the errors; where order 2 fails, order 1 has an adaptive chance of its own, by how sure the head says it is. An id is
+one interval: that of order 2, that of order 1, or its share by frequency of what these leave. All arithmetic is on integers,
+so any machine decodes what another one wrote.
+
+Ids are unsigned 32-bit integers; others are refused with a ValueError, as are a damaged head or block.
 """
 
 from __future__ import annotations
@@ -20,210 +23,258 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"TLT1"
-_BITS, _SLOT = 10, 9
-_HEAD = struct.Struct("<4sIII")
-_TOP, _LOW48 = 1 << 32, (1 << 48) - 1
+MAGIC = b"TLT2"
+_HEAD = struct.Struct("<4sQIIBII")
+_SLOTS = 11  # bits of a block's table of order 2
+_TOP, _KEEP, _ALL = 46, (1 << 46) - 1, (1 << 62) - 1  # a word of 16 bits leaves the state's 62 at the top
 
 #: Logistic tables in integers: stretch of p / 4096 in 1/256, and its inverse.
-_STRETCH = np.array([round(256 * float(np.log((p + 0.5) / (4095.5 - p)))) for p in range(4096)], np.int64)
-_SQUASH = np.array([min(3968, max(4, int(4096 / (1 + 2.718281828459045 ** (-x / 256))))) for x in range(-2304, 2305)], np.int64)
-
-
+_STRETCH = np.array([round(256 * float(np.log((p + 0.5) / (4095.5 - p)))) for p in range(4096)], np.int32)
+_SQUASH = np.array([min(3968, max(4, int(4096 / (1 + 2.718281828459045 ** (-x / 256))))) for x in range(-2304, 2305)], np.int32)
 _NEXT = np.array([1, 2, 3, 3], np.uint8)
 #: What adaptive chances move to, in 1/65536; they never reach it, so that every interval keeps a width.
 _YES, _NO, _RATE = 64000, 500, 5
+#: How sure order 1 is: shares of the most frequent follower, and the chances that each class starts from.
+_SHARES = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75])
+_FIRST2 = np.array([1000, 16000, 32000, 45000], np.int32)
+_FIRST1 = np.array([700, 2000, 4500, 9000, 17000, 27000, 40000, 56000], np.int32)
+
+
+class _Start:
+    """What a frame's blocks start from. Symbols are places of ids in the sorted list of the frame's ids."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray, follower: np.ndarray, sure: np.ndarray, bits: int):
+        self.ids, self.freq, self.follower, self.sure, self.bits = ids, freq, follower, sure, bits
+        self.cum = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.int64)
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, ids: np.ndarray) -> _Start:
+        n, bits = len(ids), max(16, (4 * len(ids) - 1).bit_length())
+        counts = np.bincount(symbols, minlength=n)
+        freq = 1 + counts * ((1 << bits) - n) // max(1, len(symbols))
+        freq[np.argmax(freq)] += (1 << bits) - freq.sum()
+        pairs = symbols[:-1].astype(np.uint32 if n <= 65536 else np.uint64)
+        pairs *= n
+        pairs += symbols[1:].astype(pairs.dtype)
+        pairs, times = np.unique(pairs, return_counts=True)
+        before, after = pairs // n, pairs % n
+        follower, sure = np.zeros(n, np.int64), np.zeros(n, np.uint8)
+        if len(pairs):
+            starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+            sizes = np.diff(np.append(starts, len(pairs)))
+            most, total = np.maximum.reduceat(times, starts), np.add.reduceat(times, starts)
+            best = np.flatnonzero(times == np.repeat(most, sizes))[::-1]
+            follower[before[best]] = after[best]  # the smallest of equally frequent ones
+            sure[before[starts]] = np.searchsorted(_SHARES, most / total, "right")
+        return cls(ids, freq, follower, sure, bits)
+
+    def packed(self) -> bytes:
+        gaps = np.diff(self.ids, prepend=0)
+        return zlib.compress(b"".join(x.astype("<u4").tobytes() for x in (gaps, self.freq, self.follower)) + self.sure.tobytes())
+
+    @classmethod
+    def unpacked(cls, data: bytes, bits: int) -> _Start:
+        data = zlib.decompress(data)
+        n = len(data) // 13
+        gaps, freq, follower = np.frombuffer(data, "<u4", 3 * n).astype(np.int64).reshape(3, n)
+        return cls(np.cumsum(gaps), freq, follower, np.frombuffer(data, np.uint8, n, 12 * n), bits)
 
 
 class _Model:
     """Tables of all blocks of a frame, one row each, flat. Indices are of the platform's own index type, which numpy needs no copy for."""
 
-    def __init__(self, lanes: int):
-        size = 1 << _BITS
-        self.base, self.slots = np.arange(lanes, dtype=np.intp) << _BITS, np.arange(lanes, dtype=np.intp) << _SLOT
-        self.id2, self.id1 = np.zeros(lanes * size, np.uint16), np.zeros(lanes * size, np.uint16)
-        self.sure2, self.sure1 = np.zeros(lanes * size, np.uint8), np.zeros(lanes * size, np.uint8)
-        self.seen = np.full(lanes << _SLOT, 0xFFFF, np.uint16)
-        # Chances: of orders 2 and 1 by how often the prediction held before, of order 1 after 2 failed, of order 0.
-        self.row = np.arange(lanes, dtype=np.intp) * 4
-        self.p2, self.p1, self.p1b = (np.tile(np.array([2000, 16000, 32000, 45000]), lanes) for _ in range(3))
-        self.p0 = np.full(lanes, 24000)
-        self.w2, self.w1 = np.full(lanes, 40000), np.full(lanes, 26000)
+    def __init__(self, lanes: int, start: _Start):
+        self.follower, self.sure1 = start.follower.astype(np.int32), start.sure.astype(np.intp)
+        self.base, self.row2, self.row1 = (np.arange(lanes, dtype=np.intp) * n for n in (1 << _SLOTS, 4, 8))
+        self.seen = np.zeros(lanes << _SLOTS, np.int32)
+        self.sure2 = np.zeros(lanes << _SLOTS, np.uint8)
+        self.p2, self.p1 = np.tile(_FIRST2, lanes), np.tile(_FIRST1, lanes)
+        self.w2, self.w1 = np.full(lanes, 40000, np.int32), np.full(lanes, 26000, np.int32)
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.ends = np.zeros((5, lanes), np.int64)
-        self.ends[4] = 65536
-        self.flat_ends, self.lane, self.lanes = self.ends.ravel(), np.arange(lanes, dtype=np.intp), lanes
-
-    def predict(self) -> None:
-        """Sets the ends of the four intervals."""
-        h = self.last * 40503
-        self.at1 = at1 = (h >> 6 & (1 << _BITS) - 1) + self.base
-        self.at2 = at2 = ((self.before * 30011 ^ h) >> 3 & (1 << _BITS) - 1) + self.base
-        self.c2, self.c1 = self.id2.take(at2), self.id1.take(at1)
-        self.n2, self.n1 = self.sure2.take(at2), self.sure1.take(at1)
-        self.k2, self.k1 = self.row + self.n2, self.row + self.n1
-        self.same = self.c2 == self.c1
-        self.q2, self.q1, self.q1b = self.p2.take(self.k2), self.p1.take(self.k1), self.p1b.take(self.k1)
-        self.s2, s1 = _STRETCH.take(self.q2 >> 4), _STRETCH.take(self.q1 >> 4)
-        self.s1 = np.where(self.same, s1, -s1 >> 2)
-        mixed = (self.w2 * self.s2 + self.w1 * self.s1 >> 16) + 2304
-        np.minimum(np.maximum(mixed, 0, out=mixed), 4608, out=mixed)
-        self.pa = _SQUASH.take(mixed)
-        _, a, b, c, _ = self.ends
-        np.left_shift(self.pa, 4, out=a)
-        rest = 65536 - a
-        np.add(a, (rest * self.q1b >> 16) * ~self.same, out=b)
-        rest = 65536 - b
-        np.add(b, (rest * self.p0 >> 16) + 1, out=c)
-
-    def interval(self, kind):
-        at = kind * self.lanes + self.lane
-        start = self.flat_ends.take(at)
-        return start, self.flat_ends.take(at + self.lanes) - start
-
-    def slot(self, ids):
-        return (ids * 40503 >> 7 & (1 << _SLOT) - 1) + self.slots
-
-    def update(self, ids, short, kind, at0) -> None:
-        """short: the ids as they stand in the tables."""
-        hit2, hit1 = self.c2 == short, self.c1 == short
-        error = hit2 * 4095 - self.pa
-        self.w2 += error * self.s2 >> 9
-        self.w1 += error * self.s1 >> 9
-        for w in (self.w2, self.w1):
-            np.minimum(np.maximum(w, -200000, out=w), 200000, out=w)
-        goal1 = hit1 * (_YES - _NO) + _NO
-        self.p2[self.k2] = self.q2 + (hit2 * (_YES - _NO) + _NO - self.q2 >> _RATE)
-        self.p1[self.k1] = self.q1 + (goal1 - self.q1 >> _RATE)
-        self.p1b[self.k1] = self.q1b + (goal1 - self.q1b >> _RATE) * ~hit2
-        self.p0 += ((kind == 2) * (_YES - _NO) + _NO - self.p0 >> _RATE) * (kind >= 2)
-        self.id2[self.at2] = short
-        self.id1[self.at1] = short
-        self.sure2[self.at2] = _NEXT.take(self.n2) * hit2
-        self.sure1[self.at1] = _NEXT.take(self.n1) * hit1
-        self.seen[at0] = short
-        self.before, self.last = self.last, ids
-
-
-def _laid(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    lanes = max(1, -(-len(ids) // block))
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of the intervals of orders 2 and 1, in 1/65536."""
+        last = self.last
+        at = self.before * 30011
+        at ^= last * 40503
+        at >>= 3
+        at &= (1 << _SLOTS) - 1
+        at += self.base
+        self.at = at
+        self.c2, self.n2 = self.seen.take(at, mode="clip"), self.sure2.take(at, mode="clip")
+        self.c1 = self.follower.take(last, mode="clip")
+        self.k2, self.k1 = self.n2 + self.row2, self.sure1.take(last, mode="clip") + self.row1
+        self.q2, self.q1 = self.p2.take(self.k2, mode="clip"), self.p1.take(self.k1, mode="clip")
+        self.s2, s1 = _STRETCH.take(self.q2 >> 4, mode="clip"), _STRETCH.take(self.q1 >> 4, mode="clip")
+        same = self.c2 == self.c1
+        self.s1 = np.where(same, s1, -s1 >> 2)
+        mixed = self.w2 * self.s2
+        mixed += self.w1 * self.s1
+        mixed >>= 16
+        mixed += 2304
+        self.pa = _SQUASH.take(mixed, mode="clip")
+        a = self.pa << 4
+        b = (65536 - a).astype(np.int64)
+        b *= self.q1
+        b >>= 16
+        b[same] = 0
+        b += a
+        return a, b
+
+    def update(self, now, hit2, hit1) -> None:
+        error = hit2 * np.int32(4095) - self.pa
+        for w, s in ((self.w2, self.s2), (self.w1, self.s1)):
+            w += error * s >> 9
+            np.clip(w, -200000, 200000, out=w)
+        gain = np.int32(_YES - _NO)
+        self.p2[self.k2] = self.q2 + ((hit2 * gain + np.int32(_NO) - self.q2) >> _RATE)
+        self.p1[self.k1] = self.q1 + ((hit1 * gain + np.int32(_NO) - self.q1) >> _RATE)
+        self.seen[self.at] = now
+        self.sure2[self.at] = _NEXT.take(self.n2, mode="clip") * hit2
+        self.before, self.last = self.last, now
+
+
+def _interval(start: _Start, now, a, b, hit2, hit1):
+    """Start and width of each block's id, in 1 / 2 ** (16 + bits)."""
+    bits = start.bits
+    wide = 65536 - b
+    low, width = (b << bits) + wide * start.cum.take(now, mode="clip"), wide * start.freq.take(now, mode="clip")
+    first = hit1 & ~hit2
+    low = np.where(first, a.astype(np.int64) << bits, low)
+    width = np.where(first, (b - a) << bits, width)
+    low[hit2] = 0
+    return low, np.where(hit2, a.astype(np.int64) << bits, width)
+
+
+def _laid(symbols: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    lanes = max(1, -(-len(symbols) // block))
     out = np.zeros(lanes * block, np.int64)
-    out[: len(ids)] = ids
+    out[: len(symbols)] = symbols
     sizes = np.full(lanes, block)
-    sizes[-1] = len(ids) - (lanes - 1) * block
+    sizes[-1] = len(symbols) - (lanes - 1) * block
     return np.ascontiguousarray(out.reshape(lanes, block).T), sizes
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A frame: magic, counts, each block's length and checksum, then the blocks."""
+    """A frame: magic, counts, the start of its blocks, each block's length and checksum, then the blocks."""
     ids = np.asarray(ids)
-    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFE):
-        raise ValueError("ids must be below 65535")
-    laid, sizes = _laid(ids, block)
-    lanes, width = len(sizes), int(sizes.max())
-    model, shorts = _Model(lanes), laid.astype(np.uint16)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _LOW48, np.int64)
-    words, n = np.zeros((2 * width + 4, lanes), np.int32), np.zeros(lanes, np.int64)
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must be unsigned 32-bit integers")
+    if len(ids) and ids.max() < 1 << 20:
+        known = np.flatnonzero(np.bincount(ids))
+        place = np.zeros(known[-1] + 1, np.int64)
+        place[known] = np.arange(len(known))
+        symbols = place[ids]
+    else:
+        known, symbols = np.unique(ids, return_inverse=True)
+    start = _Start.of(symbols, known.astype(np.int64)) if len(ids) else _Start(*(np.zeros(1, np.int64) for _ in range(4)), 16)
+    laid, sizes = _laid(symbols, block)
+    lanes, width, total = len(sizes), int(sizes.max()), 16 + start.bits
+    model = _Model(lanes, start)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, _ALL, np.int64)
+    words, n = np.zeros((3 * width + 4, lanes), np.int32), np.zeros(lanes, np.int64)
     flat = words.ravel()
-
-    def put(start, freq):
-        nonlocal low, span
-        r = span >> 16
-        low, span = low + r * start, r * freq
-        over = np.flatnonzero(low > _LOW48)
+    for t in range(width):
+        now = laid[t]
+        a, b = model.predict()
+        hit2, hit1 = model.c2 == now, model.c1 == now
+        begin, freq = _interval(start, now, a, b, hit2, hit1)
+        if t >= sizes[-1]:  # the last block has ended: the whole interval says nothing
+            begin[-1], freq[-1] = 0, 1 << total
+        r = span >> total
+        begin *= r
+        low += begin
+        span = r * freq
+        over = np.flatnonzero(low > _ALL)
         if len(over):
             flat[(n[over] - 1) * lanes + over] += 1  # carries are settled at the end
-            low[over] &= _LOW48
-        small = np.flatnonzero(span < _TOP)
-        if len(small):
+            low[over] &= _ALL
+        small = np.flatnonzero(span <= _KEEP)
+        while len(small):
             own = low[small]
-            flat[n[small] * lanes + small] = own >> 32
+            flat[n[small] * lanes + small] = own >> _TOP
             n[small] += 1
-            low[small] = (own & 0xFFFFFFFF) << 16
-            span[small] <<= 16
-
-    for t in range(width):
-        now, short = laid[t], shorts[t]
-        model.predict()
-        at0 = model.slot(now)
-        known = model.seen.take(at0) == short
-        kind = np.where(model.c2 == short, 0, np.where(model.c1 == short, 1, 3 - known))
-        start, freq = model.interval(kind)
-        more = kind >= 2
-        if t >= sizes[-1]:  # the last block has ended: whole intervals say nothing
-            start[-1], freq[-1], more[-1] = 0, 65536, False
-        put(start, freq)
-        slot = kind == 2
-        put(np.where(slot, at0 - model.slots << 16 - _SLOT, now) * more, np.where(more, np.where(slot, 1 << 16 - _SLOT, 1), 65536))
-        model.update(now, short, kind, at0)
+            low[small] = (own & _KEEP) << 16
+            narrow = span[small] << 16
+            span[small] = narrow
+            small = small[narrow <= _KEEP]
+        model.update(now, hit2, hit1)
     every = np.arange(lanes)
-    for _ in range(3):
-        flat[n * lanes + every] = low >> 32
-        low = (low & 0xFFFFFFFF) << 16
+    for _ in range(4):
+        flat[n * lanes + every] = low >> _TOP
+        low = (low & _KEEP) << 16
         n += 1
     carry = np.zeros(lanes, np.int32)
     for t in range(int(n.max()) - 1, -1, -1):
         words[t] += carry
         carry = words[t] >> 16
         words[t] &= 0xFFFF
-    sums = [zlib.crc32(np.ascontiguousarray(row[:k], "<u2").tobytes()) for row, k in zip(shorts.T, sizes, strict=True)]
-    body = words.T.astype("<u2")
-    return _HEAD.pack(MAGIC, len(ids), block, lanes) + n.astype("<u4").tobytes() + np.array(sums, "<u4").tobytes() + b"".join(body[i, : n[i]].tobytes() for i in range(lanes))
+    plain = ids.astype("<u4")
+    sums = [zlib.crc32(plain[i * block : (i + 1) * block].tobytes()) for i in range(lanes)]
+    body, head = words[: int(n.max())].T.astype("<u2"), start.packed()
+    front = _HEAD.pack(MAGIC, len(ids), block, lanes, start.bits, len(head), zlib.crc32(head))
+    return front + head + n.astype("<u4").tobytes() + np.array(sums, "<u4").tobytes() + b"".join(body[i, : n[i]].tobytes() for i in range(lanes))
 
 
 def decode(frame: bytes) -> np.ndarray:
-    """The ids of a frame; ValueError if a block's checksum fails."""
-    magic, total, block, lanes = _HEAD.unpack_from(frame)
+    """The ids of a frame; ValueError if the head's or a block's checksum fails."""
+    magic, total, block, lanes, bits, size, crc = _HEAD.unpack_from(frame)
     if magic != MAGIC:
         raise ValueError("not a frame of token ids")
-    at = _HEAD.size
+    head = frame[_HEAD.size : _HEAD.size + size]
+    if zlib.crc32(head) != crc:
+        raise ValueError("the head is damaged")
+    start, at = _Start.unpacked(head, bits), _HEAD.size + size
     n = np.frombuffer(frame, "<u4", lanes, at).astype(np.int64)
     sums = np.frombuffer(frame, "<u4", lanes, at + 4 * lanes)
     data = np.concatenate([np.frombuffer(frame, "<u2", offset=at + 8 * lanes).astype(np.int64), np.zeros(4, np.int64)])
     place = np.concatenate(([0], np.cumsum(n)[:-1]))
-    sizes = np.full(lanes, block)
-    sizes[-1] = total - (lanes - 1) * block
-    width = int(sizes.max())
-    out = np.zeros((width, lanes), np.int64)
-    model = _Model(lanes)
-    code, span = np.zeros(lanes, np.int64), np.full(lanes, _LOW48, np.int64)
-    for _ in range(3):
-        code = code << 16 | data[place]
+    last = total - (lanes - 1) * block
+    width, wide = (block if lanes > 1 else last), 16 + bits
+    out = np.zeros((width, lanes), np.uint32)
+    model, inverse = _Model(lanes, start), np.repeat(np.arange(len(start.freq)), start.freq)
+    code, span = np.zeros(lanes, np.int64), np.full(lanes, _ALL, np.int64)
+    code += data[place] << 46
+    for shift in (30, 14, -2):
         place = place + 1
-    end_of = len(data) - 1
-
-    def take(start, freq, r):
-        nonlocal code, span
-        code, span = code - r * start, r * freq
-        small = np.flatnonzero(span < _TOP)
-        if len(small):
-            at = place[small]
-            code[small] = code[small] << 16 | data[np.minimum(at, end_of)]
-            place[small] = at + 1
-            span[small] <<= 16
-
+        code += data[place] << shift if shift > 0 else data[place] >> -shift
+    rest = (data[place] & 3).astype(np.int64)  # two bits of the fourth word are not in the state yet
+    place = place + 1
     for t in range(width):
-        model.predict()
-        r = span >> 16
-        _, a, b, c, _ = model.ends
-        kind = (code >= r * a) * 1 + (code >= r * b) + (code >= r * c)
-        start, freq = model.interval(kind)
-        more = kind >= 2
-        if ended := t >= sizes[-1]:
-            start[-1], freq[-1], more[-1], kind[-1] = 0, 65536, False, 0
-        take(start, freq, r)
-        r = span >> 16
-        value = np.minimum(code // r, 65535) * more
-        slot = kind == 2
-        cell = value >> 16 - _SLOT
-        take(np.where(slot, cell << 16 - _SLOT, value), np.where(more, np.where(slot, 1 << 16 - _SLOT, 1), 65536), r)
-        now = np.where(more, np.where(slot, model.seen.take(model.slots + cell), value), np.where(kind == 0, model.c2, model.c1))
-        if ended:
+        a, b = model.predict()
+        r = span >> wide
+        value = (code.view(np.uint64) // r.view(np.uint64)).view(np.int64)
+        np.minimum(value, (1 << wide) - 1, out=value)
+        kind = value >> bits
+        hit2 = kind < a
+        first = (kind < b) & ~hit2
+        value -= b << bits
+        np.maximum(value, 0, out=value)
+        now = inverse.take((value / (65536 - b)).astype(np.int64), mode="clip")
+        now = np.where(hit2, model.c2, np.where(first, model.c1, now))
+        if ended := t >= last:
             now[-1] = 0
-        model.update(now, now.astype(np.uint16), kind, model.slot(now))
-        out[t] = now
-    out = out.T
+        hit2, hit1 = model.c2 == now, model.c1 == now
+        begin, freq = _interval(start, now, a, b, hit2, hit1)
+        if ended:
+            begin[-1], freq[-1] = 0, 1 << wide
+        begin *= r
+        code -= begin
+        span = r * freq
+        small = np.flatnonzero(span <= _KEEP)
+        while len(small):
+            at = place[small]
+            word = rest[small] << 16 | data.take(at, mode="clip")
+            code[small] = code[small] << 16 | word >> 2
+            rest[small] = word & 3
+            place[small] = at + 1
+            narrow = span[small] << 16
+            span[small] = narrow
+            small = small[narrow <= _KEEP]
+        model.update(now, hit2, hit1)
+        out[t] = start.ids.take(now, mode="clip")
+    out = np.ascontiguousarray(out.T)
     for i in range(lanes):
-        if zlib.crc32(out[i, : sizes[i]].astype("<u2").tobytes()) != sums[i]:
+        if zlib.crc32(out[i, : block if i < lanes - 1 else last].astype("<u4").tobytes()) != sums[i]:
             raise ValueError(f"block {i} is damaged")
     return out.reshape(-1)[:total]

@@ -6,14 +6,16 @@ its place (shard, part) and its index of documents; Spark's committer writes the
 and a lost task writes its shard again. Reading checks every block's checksum and gives each document its ids' place.
 
 Defined results: null text counts as empty; each document ends with the end id, so none is without ids; null doc_ids come
-first; rows that repeat a doc_id are documents of their own, side by side; strings of special tokens in texts are
-ordinary text; an empty table gives no frames and an empty result; a document of any length is in one frame (ids of a frame
-must fit in a worker's memory: 10 bytes of text to about 40 bytes); columns besides doc_id and text are ignored.
+first; rows that repeat a doc_id are documents of their own, side by side; strings of special tokens in texts become
+those tokens, as in the library's own defaults (a parameter makes them ordinary text); an empty table gives no frames and an empty result; a document of any length is in one frame (ids of a frame
+must fit in a worker's memory: about 50 bytes for each); ids have up to 32 bits; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import zlib
 
 import numpy as np
@@ -23,119 +25,132 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import token_coder
 from tidelog.llm.common import scratch, table
-from tidelog.llm.pretokens import Chunks, grouped
+from tidelog.llm.pretokens import SLICE, Chunks, gathered, slices
 
 FRAME = 1 << 22
 END_ID = 2
 #: How a byte-level vocabulary writes the space.
 _SPACE = "\u0120"
-#: Chunks that a worker keeps, about 200 MB.
-STORE = 1 << 20
+#: Chunks that a worker keeps, about 100 MB.
+STORE = 1 << 19
 FRAMES = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frame", pa.binary())])
 FRAMES_SQL = "shard int, part int, n_ids long, doc_ids array<long>, lengths array<long>, frame binary"
 
 
 class Tokens:
-    """A tokenizers file with byte-level BPE by the usual pattern; ids as little-endian unsigned 16-bit integers."""
+    """A tokenizers file; ids as the library gives them with add_special_tokens=False, as unsigned 32-bit integers.
 
-    def __init__(self, content: bytes):
+    Strings of special tokens in texts become those tokens, as the library has it; special_as_text makes them ordinary text.
+    Byte-level BPE by the usual pattern goes by way of distinct chunks; all other tokenizers get whole texts.
+    """
+
+    def __init__(self, content: bytes, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_buffer(content)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 65535:
-            raise ValueError("ids must fit in 16 bits")
+        self.tokenizer, about = Tokenizer.from_buffer(content), json.loads(content)
+        self.tokenizer.encode_special_tokens = special_as_text
+        split = about.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.by_chunks = usual and not any(about.get(x) for x in ("normalizer", "truncation", "padding"))
         #: Whether an id's bytes begin with a space.
-        self.spaced = np.zeros(1 << 16, bool)
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
-        self.chunks = Chunks(self._encode, STORE)
+        self.chunks = Chunks(self._encode, STORE, tuple(x["content"] for x in about.get("added_tokens") or []))
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks of a space and a word go to the library side by side in one text: only their first ids begin with a space."""
         plain = [len(c) > 1 and c[0] == " " and " " not in c[1:] and not c[1].isspace() and not c[-1].isspace() for c in chunks]
         joined = [c for c, x in zip(chunks, plain, strict=True) if x]
-        many = self._joined(joined)
-        if len(many) != len(joined):
+        found = self._joined(joined)
+        if found is None:
             return self._apart(chunks)
-        many, rest = iter(many), iter(self._apart([c for c, x in zip(chunks, plain, strict=True) if not x]))
-        return [next(many if x else rest) for x in plain]
-
-    def _joined(self, chunks: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(["".join(part[i : i + 500]) for i in range(0, len(part), 500)], add_special_tokens=False)
-            ids = np.concatenate([np.array(x.ids, "<u2") for x in found])
-            starts, data = np.flatnonzero(self.spaced[ids]) * 2, ids.tobytes()
-            ends = [*starts[1:].tolist(), len(data)]
-            out += [data[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
-        return out
-
-    def _apart(self, chunks: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            # Each chunk is a word of its own to the tokenizer, which splits it by its pattern and says which word an id is of.
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u2")
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1))
-            data = ids.tobytes()
-            out += [data[2 * a : 2 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        return out
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        return self.chunks.ids(texts)
-
-
-_MADE: dict[bytes, Tokens] = {}
-
-
-def _made(content: bytes) -> Tokens:
-    key = hashlib.sha256(content).digest()
+        rest = self._apart([c for c, x in zip(chunks, plain, strict=True) if not x])
+        if not len(rest[1]):
+            return found
+        plain = np.array(plain)
+        n, start = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        n[plain], n[~plain] = found[1], rest[1]
+        start[plain], start[~plain] = np.cumsum(found[1]) - found[1], len(found[0]) + np.cumsum(rest[1]) - rest[1]
+        return gathered(np.concatenate([found[0], rest[0]]), start, n), n
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """None if the ids don't fall into as many chunks."""
+        texts = ["".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)]
+        ids, _ = self._apart(texts)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(chunks):
+            return None
+        return ids, np.diff(np.append(starts, len(ids)))
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.zeros(0, np.uint32)]
+        for at in range(0, len(texts), 1000):
+            got = self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)
+            found += [np.array(x.ids, np.uint32) for x in got]
+        return np.concatenate(found), np.array([len(x) for x in found[1:]], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids side by side, and how many each text has."""
+        return self.chunks.ids(texts) if self.by_chunks else self._apart([x or "" for x in texts.to_pylist()])
+
+
+_MADE: dict[tuple[bytes, bool], Tokens] = {}
+
+
+def made(content: bytes, special_as_text: bool = False) -> Tokens:
+    """One for each Python worker: its store of chunks serves later tasks too. The cluster's cores are the tasks'."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    key = hashlib.sha256(content).digest(), special_as_text
     if key not in _MADE:
-        _MADE[key] = Tokens(content)
+        _MADE[key] = Tokens(content, special_as_text)
     return _MADE[key]
 
 
-def _frames(shared, end_id: int, frame: int):
+def _frames(shared, end_id: int, frame: int, special_as_text: bool):
     def run(batches):
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, shard, part = _made(shared.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
-        doc_ids, held, size = [], [], 0
+        tokens, shard, part = made(shared.value, special_as_text), TaskContext.get().partitionId(), 0
+        doc_ids, held, lengths, size = [], [], [], 0
 
         def row():
-            ids = np.frombuffer(b"".join(held), "<u2")
-            return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "n_ids": [len(ids)], "doc_ids": [doc_ids], "lengths": [[len(x) // 2 for x in held]], "frame": [token_coder.encode(ids)]}, schema=FRAMES)
+            values = [[shard], [part], [size], [doc_ids], [np.concatenate(lengths)], [token_coder.encode(np.concatenate(held))]]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(values, FRAMES, strict=True)], schema=FRAMES)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            at = 0
-            for texts in grouped(x or "" for x in batch.column(1).to_pylist()):
-                for data in tokens.encode_batch(texts):
-                    doc_ids.append(ids[at])
-                    held.append(data + end)
-                    at += 1
-                    size += len(held[-1])
-                    if size >= 2 * frame:
-                        yield row()
-                        doc_ids, held, size, part = [], [], 0, part + 1
+            for rows in slices(batch, 1, min(SLICE, 4 * frame)):
+                ids, n = tokens.encode(rows.column(1))
+                held.append(np.insert(ids, np.cumsum(n), end_id))
+                lengths.append(n + 1)
+                doc_ids += rows.column(0).to_pylist()
+                size += len(held[-1])
+                if size >= frame:
+                    yield row()
+                    doc_ids, held, lengths, size, part = [], [], [], 0, part + 1
         if held:
             yield row()
 
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, frame: int = FRAME, text: str = "text", doc_id: str = "doc_id") -> None:
+def write(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    frame: int = FRAME,
+    special_as_text: bool = False,
+    text: str = "text",
+    doc_id: str = "doc_id",
+) -> None:
     """Writes docs' ids to path. tokenizer: a tokenizers file; it is a few MB of fixed size and broadcast."""
     with open(tokenizer, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_frames(shared, end_id, frame), FRAMES_SQL).write.parquet(path)
+    # Rows that share a doc_id (or have none) may fill several ranges: their hash and number part them.
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "_row").select("doc_id", "text")
+    rows.mapInArrow(_frames(shared, end_id, frame, special_as_text), FRAMES_SQL).write.parquet(path)
 
 
 _READ = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -144,7 +159,7 @@ _READ = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("doc_id", pa.in
 def _documents(batches):
     for batch in batches:
         for shard, part, doc_ids, lengths, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids = token_coder.decode(frame).astype("<u4")
+            ids = token_coder.decode(frame).astype("<u4", copy=False)
             ends = np.cumsum(lengths)
             at = ends - lengths
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at, ends, strict=True)]
@@ -156,12 +171,12 @@ def _ids(batches):
     for batch in batches:
         for doc_ids, lengths, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids = token_coder.decode(frame)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids, pa.int64()))], names=["doc_id", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids of every document in the files."""
-    return spark.read.schema(FRAMES_SQL).parquet(path).select("doc_ids", "lengths", "frame").mapInArrow(_ids, "doc_id long, ids array<int>")
+    return spark.read.schema(FRAMES_SQL).parquet(path).select("doc_ids", "lengths", "frame").mapInArrow(_ids, "doc_id long, ids array<long>")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
