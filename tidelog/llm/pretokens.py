@@ -13,13 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space between two white-space characters, or between one and the end: there, and only there, a chunk's tokens
 #: depend on its neighbours, for the pattern takes runs of white space together but for the last one before a word.
-_TANGLED = rf"[{_SPACES}] [{_SPACES}]|[{_SPACES}] \z"
-#: Chunks that are kept, about 100 MB; beyond that the store starts anew. It only saves work.
-STORE = 1 << 19
-SLICE = 4 << 20
+_TANGLED = rf"[{SPACES}] [{SPACES}]|[{SPACES}] \z"
+#: Chunks that are kept, about 200 MB; beyond that the store starts anew. It only saves work.
+STORE = 1 << 20
+SLICE = 8 << 20
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -78,17 +78,22 @@ class Chunks:
         counts = np.diff(words.offsets.to_numpy()).astype(np.int64)
         first = np.cumsum(counts) - counts
         coded = words.flatten().dictionary_encode()
-        code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         inside = np.ones(len(code), bool)
         inside[first] = False
         used = np.bincount(code[inside], minlength=len(names)) > 0
         rows = self._rows(names)
-        new = [names[i] for i in np.flatnonzero(used & (rows < 0))]
-        openers = [f"{names[i]} " for i in np.unique(code[first])]
-        fresh = [k for k, row in zip(openers, self._rows(openers), strict=True) if row < 0]
-        self._learn(new + fresh, [f" {x}" for x in new] + [k[:-1] for k in fresh])
-        at = self._rows(names)[code]
-        at[first] = self._rows([f"{names[i]} " for i in code[first]])
+        new = np.flatnonzero(used & (rows < 0))
+        of_first, first_code = np.unique(code[first], return_inverse=True)
+        openers = [f"{names[i]} " for i in of_first]
+        first_rows = self._rows(openers)
+        fresh = np.flatnonzero(first_rows < 0)
+        rows[new] = len(self.n) + np.arange(len(new))
+        first_rows[fresh] = len(self.n) + len(new) + np.arange(len(fresh))
+        keys, fresh = [names[i] for i in new], [openers[i] for i in fresh]
+        self._learn(keys + fresh, [f" {x}" for x in keys] + [k[:-1] for k in fresh])
+        at = rows[code]
+        at[first] = first_rows[first_code]
         if not whole.any():
             return gathered(self.flat, self.start[at], self.n[at]), np.add.reduceat(self.n[at], first)
         more, size = self.encode(texts.filter(pa.array(whole)).to_pylist())

@@ -22,10 +22,10 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1024
 MAGIC = b"TLT2"
 _HEAD = struct.Struct("<4sQIIBII")
-_SLOTS = 11  # bits of a block's table of order 2
+_SLOTS = 9  # bits of a block's table of order 2
 _TOP, _KEEP, _ALL = 46, (1 << 46) - 1, (1 << 62) - 1  # a word of 16 bits leaves the state's 62 at the top
 
 #: Logistic tables in integers: stretch of p / 4096 in 1/256, and its inverse.
@@ -199,11 +199,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
             span[small] = narrow
             small = small[narrow <= _KEEP]
         model.update(now, hit2, hit1)
-    every = np.arange(lanes)
-    for _ in range(4):
-        flat[n * lanes + every] = low >> _TOP
-        low = (low & _KEEP) << 16
-        n += 1
+    # One more word places the state within the last interval; the words after it count as zero.
+    low += _KEEP
+    over = np.flatnonzero(low > _ALL)
+    flat[(n[over] - 1) * lanes + over] += 1
+    flat[n * lanes + np.arange(lanes)] = (low & _ALL) >> _TOP
+    n += 1
     carry = np.zeros(lanes, np.int32)
     for t in range(int(n.max()) - 1, -1, -1):
         words[t] += carry
@@ -227,8 +228,9 @@ def decode(frame: bytes) -> np.ndarray:
     start, at = _Start.unpacked(head, bits), _HEAD.size + size
     n = np.frombuffer(frame, "<u4", lanes, at).astype(np.int64)
     sums = np.frombuffer(frame, "<u4", lanes, at + 4 * lanes)
-    data = np.concatenate([np.frombuffer(frame, "<u2", offset=at + 8 * lanes).astype(np.int64), np.zeros(4, np.int64)])
-    place = np.concatenate(([0], np.cumsum(n)[:-1]))
+    laid = np.zeros((lanes, int(n.max()) + 5), np.int64)
+    laid[np.arange(laid.shape[1]) < n[:, None]] = np.frombuffer(frame, "<u2", int(n.sum()), at + 8 * lanes)
+    data, place = laid.ravel(), np.arange(lanes) * laid.shape[1]
     last = total - (lanes - 1) * block
     width, wide = (block if lanes > 1 else last), 16 + bits
     out = np.zeros((width, lanes), np.uint32)

@@ -17,22 +17,24 @@ import hashlib
 import json
 import os
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import token_coder
 from tidelog.llm.common import scratch, table
-from tidelog.llm.pretokens import SLICE, Chunks, gathered, slices
+from tidelog.llm.pretokens import SLICE, SPACES, Chunks, gathered, slices
 
 FRAME = 1 << 22
 END_ID = 2
 #: How a byte-level vocabulary writes the space.
 _SPACE = "\u0120"
-#: Chunks that a worker keeps, about 100 MB.
-STORE = 1 << 19
+#: A space and a word, which has no white space at its ends and no space within.
+_WORD = rf"\A [^{SPACES}]([^ ]*[^{SPACES}])?\z"
 FRAMES = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frame", pa.binary())])
 FRAMES_SQL = "shard int, part int, n_ids long, doc_ids array<long>, lengths array<long>, frame binary"
 
@@ -55,19 +57,18 @@ class Tokens:
         #: Whether an id's bytes begin with a space.
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
-        self.chunks = Chunks(self._encode, STORE, tuple(x["content"] for x in about.get("added_tokens") or []))
+        self.chunks = Chunks(self._encode, apart=tuple(x["content"] for x in about.get("added_tokens") or []))
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks of a space and a word go to the library side by side in one text: only their first ids begin with a space."""
-        plain = [len(c) > 1 and c[0] == " " and " " not in c[1:] and not c[1].isspace() and not c[-1].isspace() for c in chunks]
-        joined = [c for c, x in zip(chunks, plain, strict=True) if x]
+        plain = pc.match_substring_regex(pa.array(chunks, pa.string()), _WORD).to_numpy(zero_copy_only=False)
+        joined = list(compress(chunks, plain))
         found = self._joined(joined)
         if found is None:
             return self._apart(chunks)
-        rest = self._apart([c for c, x in zip(chunks, plain, strict=True) if not x])
+        rest = self._apart(list(compress(chunks, ~plain)))
         if not len(rest[1]):
             return found
-        plain = np.array(plain)
         n, start = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         n[plain], n[~plain] = found[1], rest[1]
         start[plain], start[~plain] = np.cumsum(found[1]) - found[1], len(found[0]) + np.cumsum(rest[1]) - rest[1]
