@@ -7,7 +7,7 @@ tokenizer, and numpy lays the chunks' ids side by side. No step is a Python loop
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 #: A space between two white-space characters, or between one and the end: there, and only there, a chunk's tokens
 #: depend on its neighbours, for the pattern takes runs of white space together but for the last one before a word.
 _TANGLED = rf"[{SPACES}] [{SPACES}]|[{SPACES}] \z"
+#: Line feeds next to white space or an end; all others stand alone to the pattern, and chunks are cut there too.
+_JOINED = rf"\A\n|\n\z|[{SPACES}]\n|\n[{SPACES}]"
 #: Chunks that are kept, about 200 MB; beyond that the store starts anew. It only saves work.
 STORE = 1 << 20
 SLICE = 8 << 20
@@ -25,7 +27,11 @@ SLICE = 8 << 20
 def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The pieces of flat at the given starts, with the given lengths, side by side."""
     to = np.cumsum(n)
-    return flat[np.repeat(start - to + n, n) + np.arange(to[-1] if len(to) else 0)]
+    total = int(to[-1]) if len(to) else 0
+    size = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - to + n).astype(size), n)
+    at += np.arange(total, dtype=size)
+    return flat.take(at)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -53,16 +59,43 @@ class Chunks:
         self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _rows(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        """Where each chunk's ids are; the chunks that are new are learnt. A key with a space at its end has no space before it."""
+        rows = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        if (missing := np.flatnonzero(rows < 0)).size:
+            new = list(dict.fromkeys(keys[i] for i in missing))
+            self._learn(new, [k[:-1] if k[-1:] == " " else f" {k}" for k in new])
+            rows[missing] = np.fromiter(map(self.known.get, (keys[i] for i in missing)), np.int64, len(missing))
+        return rows
 
     def _learn(self, keys: list[str], chunks: list[str]) -> None:
-        if not keys:
-            return
         flat, n = self.encode(chunks)
         self.known.update(zip(keys, range(len(self.n), len(self.n) + len(keys)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
         self.n, self.flat = np.concatenate([self.n, n]), np.concatenate([self.flat, flat])
 
+    def _entries(self, keys: list[str], lined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each key's are. Keys that are lined are cut at line feeds and not kept themselves."""
+        if not lined.any():
+            rows = self._rows(keys)
+            return self.flat, self.start[rows], self.n[rows]
+        parts, counts = [], []
+        for key in compress(keys, lined):
+            head, *rest = key.split("\n")  # the last part has the key's mark
+            mark = " " if key[-1] == " " else ""
+            parts.append(head + mark)
+            for line in rest:
+                parts += ("\n ", line if line[-1] == " " else f"{line} ")
+            counts.append(1 + 2 * len(rest))
+        simple = list(compress(keys, ~lined))
+        rows = self._rows(simple + parts)
+        own, part = rows[: len(simple)], rows[len(simple) :]
+        more, size = gathered(self.flat, self.start[part], self.n[part]), np.array(counts)
+        size = np.add.reduceat(self.n[part], np.cumsum(size) - size)
+        start, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start[~lined], n[~lined] = self.start[own], self.n[own]
+        start[lined], n[lined] = len(self.flat) + np.cumsum(size) - size, size
+        return np.concatenate([self.flat, more]), start, n
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.store:
             self._forget()
@@ -81,24 +114,21 @@ class Chunks:
         code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         inside = np.ones(len(code), bool)
         inside[first] = False
-        used = np.bincount(code[inside], minlength=len(names)) > 0
-        rows = self._rows(names)
-        new = np.flatnonzero(used & (rows < 0))
+        used = np.flatnonzero(np.bincount(code[inside], minlength=len(names)))
         of_first, first_code = np.unique(code[first], return_inverse=True)
-        openers = [f"{names[i]} " for i in of_first]
-        first_rows = self._rows(openers)
-        fresh = np.flatnonzero(first_rows < 0)
-        rows[new] = len(self.n) + np.arange(len(new))
-        first_rows[fresh] = len(self.n) + len(new) + np.arange(len(fresh))
-        keys, fresh = [names[i] for i in new], [openers[i] for i in fresh]
-        self._learn(keys + fresh, [f" {x}" for x in keys] + [k[:-1] for k in fresh])
-        at = rows[code]
-        at[first] = first_rows[first_code]
+        keys = [names[i] for i in used] + [f"{names[i]} " for i in of_first]
+        lined = pc.and_not(pc.match_substring(coded.dictionary, "\n"), pc.match_substring_regex(coded.dictionary, _JOINED))
+        lined = lined.to_numpy(zero_copy_only=False)[np.concatenate([used, of_first])]
+        flat, start, n = self._entries(keys, lined)
+        place = np.zeros(len(names), np.int64)
+        place[used] = np.arange(len(used))
+        at = place[code]
+        at[first] = len(used) + first_code
         if not whole.any():
-            return gathered(self.flat, self.start[at], self.n[at]), np.add.reduceat(self.n[at], first)
+            return gathered(flat, start[at], n[at]), np.add.reduceat(n[at], first)
         more, size = self.encode(texts.filter(pa.array(whole)).to_pylist())
-        start = np.concatenate([self.start[at], len(self.flat) + np.cumsum(size) - size])
-        n, flat = np.concatenate([self.n[at], size]), np.concatenate([self.flat, more])
+        start = np.concatenate([start[at], len(flat) + np.cumsum(size) - size])
+        n, flat = np.concatenate([n[at], size]), np.concatenate([flat, more])
         # Back in the order of the texts; one that went whole is one chunk.
         begin, many = np.zeros(len(whole), np.int64), np.ones(len(whole), np.int64)
         begin[~whole], many[~whole], begin[whole] = first, counts, len(at) + np.arange(len(size))

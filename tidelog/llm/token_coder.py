@@ -1,6 +1,6 @@
 """An adaptive context-mixing range coder for token ids.
 
-A frame's ids are cut into blocks of BLOCK ids. Each block starts from the same state and carries a CRC-32 of its ids, so
+A frame's ids are cut into blocks of at most BLOCK ids. Each block starts from the same state and carries a CRC-32 of its ids, so
 it can be decoded, checked and lost on its own, given the frame's head. All blocks of a frame are coded side by side:
 each numpy operation does one step of every block.
 
@@ -155,9 +155,13 @@ def _laid(symbols: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(out.reshape(lanes, block).T), sizes
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A frame: magic, counts, the start of its blocks, each block's length and checksum, then the blocks."""
+def encode(ids: np.ndarray, block: int | None = None) -> bytes:
+    """A frame: magic, counts, the start of its blocks, each block's length and checksum, then the blocks.
+
+    A small frame has smaller blocks, for its steps should serve many blocks each.
+    """
     ids = np.asarray(ids)
+    block = block or min(BLOCK, max(128, len(ids) >> 11))
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
         raise ValueError("ids must be unsigned 32-bit integers")
     if len(ids) and ids.max() < 1 << 20:

@@ -148,9 +148,9 @@ def write(
     with open(tokenizer, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # Rows that share a doc_id (or have none) may fill several ranges: their hash and number part them.
-    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
-    rows = rows.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "_row").select("doc_id", "text")
+    # Rows that share a doc_id (or have none) may fill several ranges: their number parts them.
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
     rows.mapInArrow(_frames(shared, end_id, frame, special_as_text), FRAMES_SQL).write.parquet(path)
 
 
