@@ -35,18 +35,21 @@ from tidelog.llm.pretokens import slices
 from tidelog.llm.token_output import END_ID, made
 
 LENGTHS = (1024, 2048, 4096, 8192)
-GROUP = 16 << 20
+GROUP = 4 << 20
 #: What a sequence costs beside its length, and the length at which the quadratic part equals the linear one.
 OVERHEAD, SQUARE = 64, 32768
+#: Bytes of text that are tokenised at once.
+SLICE = 4 << 20
 _BIN = pa.schema(
     [("bin_id", pa.int64()), ("bin_length", pa.int64()), ("opened_length", pa.int64()), ("n_tokens", pa.int64())]
     + [(n, pa.list_(pa.int64())) for n in ("doc_ids", "pieces", "places", "lengths")]
-    + [("ids", pa.list_(pa.int64()))]
+    + [("ids", pa.list_(pa.int32()))]
 )
 _BIN_SQL = "bin_id long, bin_length long, opened_length long, n_tokens long, " + ", ".join(
-    f"{n} array<long>" for n in ("doc_ids", "pieces", "places", "lengths", "ids")
-)
-_PIECE_SQL = "doc_id long, piece long, place_in long, grp long, ids binary"
+    f"{n} array<long>" for n in ("doc_ids", "pieces", "places", "lengths")
+) + ", ids array<int>"
+_PIECE_SQL = "doc_id long, piece long, place_in long, grp long, width int, ids binary"
+_WIDTHS = {2: "<u2", 4: "<u4"}
 
 
 def cost(length: int, overhead: int = OVERHEAD, square: int = SQUARE) -> float:
@@ -122,36 +125,37 @@ def _cut(shared, end_id: int, most: int, groups: int, special_as_text: bool):
         from xxhash import xxh64_intdigest
 
         tokens, task = made(shared.value, special_as_text), TaskContext.get().partitionId()
+        width = 2 if max(len(tokens.spaced), end_id + 1) <= 65536 else 4
         seen: Counter = Counter()
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, SLICE):
                 ids, n = tokens.encode(rows.column(1))
-                data = np.insert(ids, np.cumsum(n), end_id).astype("<u4").tobytes()
-                out, at = {k: [] for k in ("doc_id", "piece", "place_in", "grp", "ids")}, 0
+                data = np.insert(ids.astype(_WIDTHS[width]), np.cumsum(n), end_id).tobytes()
+                out, at = {k: [] for k in ("doc_id", "piece", "place_in", "grp", "width", "ids")}, 0
                 for doc_id, tag, size in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), (n + 1).tolist(), strict=True):
                     seen[doc_id, tag] += 1
                     for piece in range(-(-size // most)):
                         length = min(most, size - piece * most)
                         key = xxh64_intdigest(f"{doc_id} {tag} {task} {seen[doc_id, tag]} {piece}")
-                        for k, v in zip(out, (doc_id, piece, key >> 1, key % groups, data[at : at + 4 * length]), strict=True):
+                        for k, v in zip(out, (doc_id, piece, key >> 1, key % groups, width, data[at : at + width * length]), strict=True):
                             out[k].append(v)
-                        at += 4 * length
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                        at += width * length
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return run
 
 
 def _bins(lengths, overhead: int, square: int):
-    def packed(group: int, rows: list[tuple]):
-        sizes = [len(r[2]) // 4 for r in rows]
+    def packed(group: int, width: int, rows: list[tuple]):
+        sizes = [len(r[2]) // width for r in rows]
         bins, places, final, opened = pack(sizes, lengths, overhead, square)
         order = np.lexsort((places, bins))
         own = np.array(bins)[order]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         n = np.array(sizes)[order]
         used = np.add.reduceat(n, starts)
-        ids = np.frombuffer(b"".join([rows[i][2] for i in order]), "<u4").astype(np.int64)
+        ids = np.frombuffer(b"".join([rows[i][2] for i in order]), _WIDTHS[width]).astype(np.int32)
         ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
         many = ends(np.diff(np.append(starts, len(n))))
         each = [[rows[i][0] for i in order], [rows[i][1] for i in order], [places[i] for i in order], n]
@@ -160,16 +164,18 @@ def _bins(lengths, overhead: int, square: int):
         return pa.RecordBatch.from_arrays([*columns, *lists, pa.ListArray.from_arrays(ends(used), pa.array(ids))], schema=_BIN)
 
     def run(batches):
-        now, held = None, []
-        for batch in batches:
-            for doc_id, piece, group, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if group != now and held:
-                    yield packed(now, held)
-                    held = []
-                now = group
-                held.append((doc_id, piece, ids))
+        now, held = (None, None), []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                for doc_id, piece, *key, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key != now and held:
+                        yield packed(*now, held)
+                        held = []
+                    now = key
+                    held.append((doc_id, piece, ids))
         if held:
-            yield packed(now, held)
+            yield packed(*now, held)
 
     return run
 
@@ -197,7 +203,7 @@ def pack_documents(
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-total // group))
     cut = rows.withColumn("tag", F.xxhash64("text")).mapInArrow(_cut(shared, end_id, max(lengths), groups, special_as_text), _PIECE_SQL)
-    dealt = cut.repartition("grp").sortWithinPartitions("grp", "place_in").select("doc_id", "piece", "grp", "ids")
+    dealt = cut.repartition("grp").sortWithinPartitions("grp", "place_in").select("doc_id", "piece", "grp", "width", "ids")
     return dealt.mapInArrow(_bins(tuple(lengths), overhead, square), _BIN_SQL)
 
 

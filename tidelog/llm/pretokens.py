@@ -19,9 +19,9 @@ SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 _TANGLED = rf"[{SPACES}] [{SPACES}]|[{SPACES}] \z"
 #: Line feeds next to white space or an end; all others stand alone to the pattern, and chunks are cut there too.
 _JOINED = rf"\A\n|\n\z|[{SPACES}]\n|\n[{SPACES}]"
-#: Chunks that are kept, about 200 MB; beyond that the store starts anew. It only saves work.
-STORE = 1 << 20
-SLICE = 8 << 20
+#: Chunks that are kept, about 100 MB; beyond that the store starts anew. It only saves work.
+STORE = 1 << 19
+SLICE = 6 << 20
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
