@@ -33,12 +33,21 @@ FRAME = 1 << 22
 END_ID = 2
 #: How a byte-level vocabulary writes the space.
 _SPACE = "\u0120"
+#: A space and letters, and perhaps one mark: the usual pattern parts these before the mark, and only there.
+_LATIN = r"\A [A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[,.;:!?]?\z"
 #: A space and a word, which has no white space at its ends and no space within.
 _WORD = rf"\A [^{SPACES}]([^ ]*[^{SPACES}])?\z"
 FRAMES = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frame", pa.binary())])
 FRAMES_SQL = "shard int, part int, n_ids long, doc_ids array<long>, lengths array<long>, frame binary"
 
 
+def _alphabet() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes (as Latin-1 characters), with line feeds left as they are."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)} | {10: "\n"}
+
+
 class Tokens:
     """A tokenizers file; ids as the library gives them with add_special_tokens=False, as unsigned 32-bit integers.
 
@@ -54,39 +63,47 @@ class Tokens:
         split = about.get("pre_tokenizer") or {}
         usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         self.by_chunks = usual and not any(about.get(x) for x in ("normalizer", "truncation", "padding"))
+        if self.by_chunks:
+            # The same model on words that are already written in its alphabet, one to a line.
+            lines = {**about, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}
+            self.by_line, self.alphabet = Tokenizer.from_str(json.dumps(lines)), _alphabet()
         #: Whether an id's bytes begin with a space.
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
         self.chunks = Chunks(self._encode, apart=tuple(x["content"] for x in about.get("added_tokens") or []))
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks of a space and a word go to the library side by side in one text: only their first ids begin with a space."""
-        plain = pc.match_substring_regex(pa.array(chunks, pa.string()), _WORD).to_numpy(zero_copy_only=False)
-        joined = list(compress(chunks, plain))
-        found = self._joined(joined)
-        if found is None:
-            return self._apart(chunks)
-        rest = self._apart(list(compress(chunks, ~plain)))
-        if not len(rest[1]):
-            return found
-        n, start = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
-        n[plain], n[~plain] = found[1], rest[1]
-        start[plain], start[~plain] = np.cumsum(found[1]) - found[1], len(found[0]) + np.cumsum(rest[1]) - rest[1]
-        return gathered(np.concatenate([found[0], rest[0]]), start, n), n
-
-    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Chunks of a space and a word go to the library side by side: only their first ids begin with a space."""
+        array = pa.array(chunks, pa.string())
+        latin = pc.match_substring_regex(array, _LATIN).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(array, _WORD).to_numpy(zero_copy_only=False) & ~latin
+        found, masks = [], [latin, plain, ~latin & ~plain]
+        for mask, encode in zip(masks, (self._lines, self._joined, self._apart), strict=True):
+            own = list(compress(chunks, mask))
+            found.append((encode(own) or self._apart(own)) if own else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+        n, start, base = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), 0
+        for mask, (ids, size) in zip(masks, found, strict=True):
+            n[mask], start[mask] = size, base + np.cumsum(size) - size
+            base += len(ids)
+        return gathered(np.concatenate([ids for ids, _ in found]), start, n), n
+
+    def _split(self, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray] | None:
         """None if the ids don't fall into as many chunks."""
-        texts = ["".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)]
-        ids, _ = self._apart(texts)
         starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(chunks):
-            return None
-        return ids, np.diff(np.append(starts, len(ids)))
+        return (ids, np.diff(np.append(starts, len(ids)))) if len(starts) == count and (not count or starts[0] == 0) else None
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        return self._split(self._apart(["".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)])[0], len(chunks))
+
+    def _lines(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        chunks = [c if c[-1] not in ",.;:!?" else f"{c[:-1]}\n{c[-1]}" for c in chunks]
+        texts = ["\n".join(chunks[i : i + 500]).encode().decode("latin-1").translate(self.alphabet) for i in range(0, len(chunks), 500)]
+        return self._split(self._apart(texts, self.by_line)[0], len(chunks))
 
-    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _apart(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         found = [np.zeros(0, np.uint32)]
         for at in range(0, len(texts), 1000):
-            got = self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)
+            got = (tokenizer or self.tokenizer).encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)
             found += [np.array(x.ids, np.uint32) for x in got]
         return np.concatenate(found), np.array([len(x) for x in found[1:]], np.int64)
 
