@@ -184,6 +184,7 @@ def test_chats_survive_the_round_trip(spark):
     for k in {c[0] for c in CHATS}:
         want = [(r or "", t or "") for _, _, r, t in sorted((c for c in CHATS if c[0] == k), key=lambda c: -1 if c[1] is None else c[1])]
         assert [(t["role"], t["text"]) for t in got[k]["turns"]] == want
+    assert "[INST]" not in got[2]["formatted"].removeprefix("[INST]user\n") and got[2]["formatted"].count("</s>") == 1  # no forged marks
     assert not got[1]["escaped"] and got[2]["escaped"] and got[1]["formatted"] == "[INST]user\nhi[/INST]<s>yo</s>"
     for r in chat.digest(out).collect():
         said = [(c[2] or "", c[3] or "") for c in CHATS if c[0] == r["conv_id"]]
