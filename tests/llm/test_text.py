@@ -93,6 +93,40 @@ def test_reputation_blocks_only_what_is_surely_bad(spark):
     assert {v for h, v in got.items() if h.startswith("g")} == {"allow"}
 
 
+def test_posterior_against_its_closed_form(spark):
+    counts = {"a.x.com": (5, 1), "b.x.com": (9, 9), "c.y.com": (20, 2), "d.co.uk": (4, 0), "e.f.co.uk": (3, 3), "": (2, 1), "new.x.com": (0, 0)}
+    df = spark.createDataFrame([(h, n, b) for h, (n, b) in counts.items()], "host string, n long, bad long")
+    got = {r["host"]: r for r in url_filter.reputation(df).collect()}
+
+    def weight(members):
+        chance = sum(p * (1 - p) for n, _, p in members if n)
+        excess = sum(n * (b / n - p) ** 2 for n, b, p in members if n) - chance
+        scale = sum(n * p * (1 - p) for n, _, p in members if n) - chance
+        return min(max(2.0, 1 / max(excess / max(scale, 1e-9), 1e-6) - 1), 1000.0)
+
+    ends = {"a.x.com": ("x.com", "com"), "b.x.com": ("x.com", "com"), "new.x.com": ("x.com", "com"), "c.y.com": ("y.com", "com"), "d.co.uk": ("d.co.uk", "co.uk"), "e.f.co.uk": ("f.co.uk", "co.uk"), "": ("", "")}
+    total = lambda hosts: tuple(sum(counts[h][i] for h in hosts) for i in (0, 1))
+    overall = (total(counts)[1] + 0.5) / (total(counts)[0] + 1)
+    mean = {(): overall}
+    for level in (1, 0):
+        names = {ends[h][level:] for h in counts}
+        sums = {x: total([h for h in counts if ends[h][level:] == x]) for x in names}
+        w = weight([(*sums[x], mean[x[1:]]) for x in names])
+        mean |= {x: (mean[x[1:]] * w + sums[x][1]) / (w + sums[x][0]) for x in names}
+    w = weight([(*counts[h], mean[ends[h]]) for h in counts])
+    for h, (n, b) in counts.items():
+        assert abs(got[h]["alpha"] - (mean[ends[h]] * w + b)) < 1e-9 and abs(got[h]["beta"] - ((1 - mean[ends[h]]) * w + n - b)) < 1e-9
+
+
+def test_labels_of_pages(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("http://www.cheap-pills.com/", "<p>fine</p>", True), ("http://pillsbury.com/", "<p>some words here</p>", False), ("http://a.com/", "<p>a | b | c | d</p>", True), ("http://spam.com/", None, None), (None, "<script>|||||</script>ok words", False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + rows[:1])], "page_id long, url string, html string, want boolean")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", url_filter.bad_page(F.col("url"), F.col("html"))).collect())
+    assert url_filter.judge(df, url_filter.bad_page(F.col("url"), F.col("html"))).count() == len(rows) + 1
+
+
 def brute_base(text):
     words = re.findall("[^\x20\x09-\x0d]+", text)
     lines, dup = set(), 0

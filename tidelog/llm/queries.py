@@ -17,4 +17,4 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.query,
 }
 #: Those of which SQL can say all; the others are tested against brute force, round trips or the libraries themselves.
-ORACLES = {"op7_chat_format": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op5_url_filter": url_filter.SQL, "op7_chat_format": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -26,6 +26,8 @@ Z = 2.0
 WEIGHT = (2.0, 1000.0)
 #: Suffixes under which names are registered one level further down; a parameter, for the list grows.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "co.nz", "co.in", "co.za", "co.kr", "com.mx", "com.tr", "com.tw")
+#: Names of hosts of which every page counts as bad: what public block lists of words have in common. A parameter in kind.
+BAD_NAMES = ("ads", "adult", "bets", "betting", "casino", "pills", "poker", "porn", "sex", "spam", "tracker", "track", "viagra", "xxx")
 #: A page is bad if it has more than one symbol of these for four words.
 _SYMBOLS = "#*$%&|<>"
 
@@ -118,13 +120,78 @@ def judge(pages: DataFrame, bad: Column | None, rules=RULES, max_bad: float = MA
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad_share", "bad_low")
 
 
-def bad_page(html: Column) -> Column:
-    """The labelled outcome of the query: a page whose visible words carry many symbols. Null html has no label."""
-    words = F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&nbsp;", " ")
+#: What isn't visible in a page. Spelt without back references, for SQL engines differ in them.
+_UNSEEN = r"(?s)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&nbsp;"
+
+
+def bad_page(url: Column, html: Column) -> Column:
+    """The labelled outcome of the query, as its tables have no labels for pages: a page is bad if a part of its host's
+    name is one of BAD_NAMES, or if its visible words carry many symbols. Null html has no label.
+    """
+    words = F.regexp_replace(html, _UNSEEN, " ")
     symbols = F.length(words) - F.length(F.translate(words, _SYMBOLS, ""))
-    return symbols * 4 > F.length(words) / 6
+    named = F.arrays_overlap(F.split(host_of(url), "[^a-z0-9]+"), F.array(*map(F.lit, BAD_NAMES)))
+    return F.when(html.isNotNull(), named | (symbols * 4 > F.length(words) / 6))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, bad_page(F.col("html")))
+    return judge(pages, bad_page(F.col("url"), F.col("html")))
+
+
+def _shrunk_sql(name: str, groups: str, prior: str) -> str:
+    """The weight and means of a level, as reputation() has them."""
+    return f"""
+w_{name} AS (
+    SELECT CASE WHEN count(*) = 0 THEN {WEIGHT[0]}::DOUBLE ELSE least(greatest({WEIGHT[0]}::DOUBLE, 1 / greatest(
+        (sum(n * pow(bad / n - {prior}, 2)) - sum({prior} * (1 - {prior})))
+        / greatest(sum(n * {prior} * (1 - {prior})) - sum({prior} * (1 - {prior})), 1e-9), 1e-6) - 1), {WEIGHT[1]}::DOUBLE) END AS w
+    FROM {groups} WHERE n > 0
+)"""
+
+
+SQL = f"""
+WITH rows AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+           regexp_replace(html, '{_UNSEEN[4:]}', ' ', 'gs') AS words
+    FROM pages
+), labelled AS (
+    SELECT *, CASE WHEN words IS NOT NULL THEN list_has_any(string_split_regex(host, '[^a-z0-9]+'), [{', '.join(f"'{x}'" for x in BAD_NAMES)}])
+           OR (length(words) - length(translate(words, '{_SYMBOLS}', ''))) * 4 > length(words) / 6 END AS is_bad FROM rows
+), outcomes AS (
+    SELECT host, count(is_bad) AS n, count(*) FILTER (is_bad) AS bad, string_split(host, '.') AS parts,
+           array_to_string(parts[-2:], '.') AS two, two IN ({', '.join(f"'{x}'" for x in SECOND_LEVEL)}) AS deep,
+           CASE WHEN deep THEN two ELSE parts[-1] END AS suffix,
+           CASE WHEN deep THEN array_to_string(parts[-3:], '.') ELSE two END AS domain
+    FROM labelled GROUP BY host
+), overall AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS mean_all FROM outcomes),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean_all) AS mean_all FROM outcomes, overall GROUP BY suffix),
+{_shrunk_sql("suffix", "suffixes", "mean_all")},
+domains AS (
+    SELECT o.suffix, domain, sum(o.n) AS n, sum(o.bad) AS bad, any_value((mean_all * w + s.bad) / (w + s.n)) AS mean_suffix
+    FROM outcomes o JOIN suffixes s USING (suffix), w_suffix GROUP BY o.suffix, domain
+), {_shrunk_sql("domain", "domains", "mean_suffix")},
+hosts AS (
+    SELECT o.host, o.n, o.bad, (mean_suffix * w + d.bad) / (w + d.n) AS mean_domain
+    FROM outcomes o JOIN domains d USING (suffix, domain), w_domain
+), {_shrunk_sql("host", "hosts", "mean_domain")},
+posterior AS (SELECT host, mean_domain * w + bad AS a, (1 - mean_domain) * w + n - bad AS b FROM hosts, w_host),
+known AS (
+    SELECT host, round(a / (a + b), 9) AS bad_share,
+           round(greatest(a / (a + b) - {Z} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))), 0), 9) AS bad_low
+    FROM posterior
+), ruled AS (
+    SELECT page_id, host, path, CASE
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+    FROM labelled
+)
+SELECT page_id, host, path, rule, bad_share, bad_low,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN bad_low > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN known USING (host)
+"""
