@@ -229,8 +229,9 @@ def test_chats_survive_the_round_trip(spark):
 
 def test_licenses(spark):
     long = licenses.PASSAGES[0][0]
+    assert licenses.run_hash(["mit", "license"]) == spark.sql("SELECT xxhash64('mit', 'license')").first()[0]
     changed = long.replace("deal in", "deal freely in")
-    texts = ["MIT license, mit License", "the General Public License v3", long, changed, "x " * 40 + long[: len(long) // 3], "", None, "mit", "license mit", "Apache-License!", "a mité license"]
+    texts = ["MIT license, mit License", "the General Public License v3", long, changed, "x " * 40 + long[: len(long) // 3], "", None, "mit", "license mit", "Apache-License!", "a mité license", "m\u0130t license", "general public \u0130icense MIT LICENSE", long.lower() + " \u212a"]
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(50, "mit license", "c"), (50, "mit license", "c"), (50, "gpl", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
     got = {}
@@ -241,9 +242,40 @@ def test_licenses(spark):
     assert got[2][0]["labels"] == "mit-text" and got[3][0]["labels"] == "mit-text" and got[4][0]["labels"] == "" and got[2][0]["score"] == 1.0
     assert at(5) == at(6) == (0, 0, None, None, "") and at(7)[1] == at(8)[1] == at(10)[1] == 0
     assert sorted(r["n_base"] for r in got[50]) == [0, 1, 1]
+    assert at(11) == (2, 0, None, None, "") and at(12)[1:] == (1, 3, 3, "mit") and at(13)[0] == at(2)[0] + 1 and got[13][0]["labels"] == "mit-text"
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_license_texts(spark):
+    rnd, texts = random.Random(3), licenses.license_texts.WHOLE
+    noise = lambda n: " ".join(rnd.choice(["one", "two", "three", "the", "of", "license"]) for _ in range(n))
+    rows = [(i, f"{noise(50)} {t.upper() if i % 2 else t} {noise(50)}") for i, (t, _) in enumerate(texts)]
+    words = texts[0][0].split()
+    rows += [(50, " ".join(w for i, w in enumerate(words) if i % 40)), (51, noise(5000)), (52, " ".join(rnd.sample(words, len(words))))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, label) in enumerate(texts):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+        span = next(s for s in got[i]["spans"] if s["label"] == label)
+        assert span["first"] == 50 and span["last"] == 50 + len(licenses.words_of(t)) - 3
+    assert "bsd-3-clause-full" not in got[1]["labels"].split(",")
+    assert "mit-full" in got[50]["labels"] and 0.8 < got[50]["score"] < 1.0
+    assert got[51]["labels"] == got[52]["labels"] == ""
+
+
+def test_a_long_text_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        df = spark.createDataFrame([(1, "some words of text, mit license " * (n // 6))], "doc_id long, text string")
+        licenses.scan(df).collect()
+        began = time.perf_counter()
+        row = licenses.scan(df).collect()[0]
+        took.append(time.perf_counter() - began)
+        assert row["n_words"] == n // 6 * 6 and row["n_base"] == n // 6
+    assert took[1] < 8 * took[0] + 5
+
+
 def checked_bins(sizes, packed, lengths):
     bins, places, final, opened = packed
     spans = {}

@@ -6,8 +6,9 @@ neighbouring diagonals of one template, whose matches follow each other, are mer
 too few don't part a passage; a passage has its template's label if its votes cover enough of the template. The words of
 each vote are compared, not just their hashes. The base phrases are templates of one run each.
 
-The templates are a fixed list of a few hundred runs, so they are broadcast. Each text is read once: besides its
-runs it sends one row for itself. Only votes and that row are shuffled, after partial aggregation.
+The templates are a fixed list of some 1,500 runs, so they are broadcast. Each text is read once: besides the runs that
+some template has, it sends one row for itself. Only votes and that row are shuffled, after partial aggregation. Time is
+linear in a text's length, which is bounded by a row's size only.
 
 Defined results: null text counts as empty; documents without a label have empty strings and score 0; rows that repeat a
 doc_id are rows of their own; an empty table gives an empty result; columns besides doc_id and text are ignored.
@@ -21,24 +22,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm import license_texts
 from tidelog.llm.common import table
 
 #: Phrases and labels that are found wherever the words stand.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Passages of public license texts and their labels.
-PASSAGES = (
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "mit-text"),
-    ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
-    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache-2.0"),
-    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl-text"),
-    ("GNU Lesser General Public License", "lgpl"),
-    ("GNU Affero General Public License", "agpl"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
-    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("This is free and unencumbered software released into the public domain", "unlicense"),
-    ("licensed under a Creative Commons Attribution", "cc-by"),
-)
+#: Sentences and whole texts of public licenses, and their labels.
+PASSAGES = (*license_texts.SENTENCES, *license_texts.WHOLE)
 #: Share of a passage's runs that must be found, words by which neighbouring diagonals may differ, and words between them.
 COVER, SHIFT, GAP = 0.8, 3, 6
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,32 +53,58 @@ def template_rows(base=BASE, passages=PASSAGES) -> list[tuple]:
     return out
 
 
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case. lower() is quick and changes more, but never to or from an ASCII character, once the two that it
+    would turn into ASCII are out of the way; words that aren't ASCII match nothing here."""
+    out = F.coalesce(text, F.lit(""))
+    for sign, other in (("\u212a", "\ue000"), ("\u0130", "\ue001")):
+        out = F.replace(out, F.lit(sign), F.lit(other))
+    return F.lower(out)
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(_lowered(text), F.lit(WORD), F.lit(0))
+
+
+def run_hash(words: list[str]) -> int:
+    """What the engine's xxhash64 of these columns is."""
+    from xxhash import xxh64_intdigest
+
+    out = 42
+    for w in words:
+        out = xxh64_intdigest(w.encode(), out)
+    return out - (1 << 64) if out >> 63 else out
 
 
 def votes(docs: DataFrame, base=BASE, passages=PASSAGES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, version (of the text, where rows repeat a doc_id), n_words, template, diagonal, n, first, last."""
-    templates = docs.sparkSession.createDataFrame(template_rows(base, passages), "template int, label string, is_base boolean, n_runs int, at int, a string, b string, c string")
-    templates = templates.withColumn("hash", F.xxhash64("a", "b", "c"))
+    """doc_id, version (of the text, where rows repeat a doc_id), n_words, template, diagonal, n, first, last.
+
+    All runs of a text are hashed where its words are. Only places whose hash some template has leave the array, with their
+    two or three words: time and memory are linear in the text's length.
+    """
+    listed = template_rows(base, passages)
+    templates = docs.sparkSession.createDataFrame(listed, "template int, label string, is_base boolean, n_runs int, at int, a string, b string, c string")
+    templates = templates.withColumn("hash", F.xxhash64("a", "b", "c")).select("hash", "template", "at", "a", "b", "c")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), _words(F.col(text)).alias("words"))
     rows = rows.withColumn("n_words", F.size("words"))
-    # xxhash64 passes over nulls, so a run that the text's end cuts off hashes its words alone; the words are compared below.
-    words = F.col("words")
-    runs = F.concat(
-        F.array(F.xxhash64(F.lit(_OWN), F.lit(_OWN), F.lit(_OWN))),
-        F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1))),
-        F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))),
-    )
-    rows = rows.select("doc_id", "version", "n_words", "words", F.posexplode(runs).alias("place", "hash"))
-    at = (F.col("place") - 1) % F.greatest(F.col("n_words"), F.lit(1))
-    rows = rows.withColumn("word", F.when(F.col("place") == 0, 0).otherwise(at))
-    word = lambda i: F.get("words", F.col("word") + i)
-    own = (F.col("place") == 0) & (F.col("template") == 0)
-    same = (F.col("place") > 0) & (word(0) == F.col("a")) & (word(1) == F.col("b")) & (F.col("c").isNull() & (F.col("place") <= F.col("n_words")) | (word(2) == F.col("c")) & (F.col("place") > F.col("n_words")))
-    found = rows.join(F.broadcast(templates.select("hash", "template", "at", "a", "b", "c")).alias("t"), rows["hash"] == F.col("t.hash")).filter(own | same)
-    found = found.select("doc_id", "version", "n_words", "template", (F.col("word") - F.col("at")).alias("diagonal"), "word")
-    return found.groupBy("doc_id", "version", "n_words", "template", "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("first"), F.max("word").alias("last"))
+    hits = [f"array(named_struct('word', 0, 'a', '{_OWN}', 'b', '{_OWN}', 'c', '{_OWN}'))"]
+    for k in (2, 3):
+        known = {run_hash([w for w in row[5:] if w is not None]) for row in listed if row[5] != _OWN and 3 - (row[7] is None) == k}
+        if not known:
+            continue
+        run = ", ".join(f"get(words, i + {j})" for j in range(k))
+        last = "get(words, i + 2)" if k == 3 else "CAST(NULL AS STRING)"
+        places = f"filter(sequence(0, n_words - {k}), i -> xxhash64({run}) IN ({', '.join(f'{h}L' for h in sorted(known))}))"
+        found = f"transform({places}, i -> named_struct('word', i, 'a', get(words, i), 'b', get(words, i + 1), 'c', {last}))"
+        hits.append(f"if(n_words >= {k}, {found}, array())")
+    rows = rows.select("doc_id", "version", "n_words", F.explode(F.expr(f"concat({', '.join(hits)})")).alias("hit"))
+    rows = rows.select("doc_id", "version", "n_words", "hit.*").withColumn("hash", F.xxhash64("a", "b", "c"))
+    # The hash passes over nulls, so the words are compared too.
+    t = F.broadcast(templates).alias("t")
+    same = (rows["hash"] == F.col("t.hash")) & (rows["a"] == F.col("t.a")) & (rows["b"] == F.col("t.b")) & rows["c"].eqNullSafe(F.col("t.c"))
+    found = rows.join(t, same).select("doc_id", "version", "n_words", "template", (F.col("word") - F.col("at")).alias("diagonal"), "word")
+    sums = F.count(F.lit(1)).alias("n"), F.min("word").alias("first"), F.max("word").alias("last")
+    return found.groupBy("doc_id", "version", "n_words", "template", "diagonal").agg(*sums)
 
 
 def scan(docs: DataFrame, base=BASE, passages=PASSAGES, cover: float = COVER, shift: int = SHIFT, gap: int = GAP, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -123,3 +139,27 @@ def scan(docs: DataFrame, base=BASE, passages=PASSAGES, cover: float = COVER, sh
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the query: its base columns."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+SQL = r"""
+WITH t AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), hits AS (
+    SELECT row, i - 1 AS word, CASE w[i] WHEN 'mit' THEN 'mit' WHEN 'apache' THEN 'apache' ELSE 'gpl' END AS label
+    FROM (SELECT row, w, unnest(range(1, len(w))) AS i FROM t WHERE list_has_any(w, ['license']))
+    WHERE w[i] IN ('mit', 'apache') AND w[i + 1] = 'license' OR w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'
+), sums AS (
+    SELECT row, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+    FROM hits GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM t LEFT JOIN sums USING (row)
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.query,
     "op9_license_scan": licenses.query,
     "op10_exact_dedup": exact_dedup.query,
+    "license_base_columns": licenses.base_query,
 }
 #: Those of which SQL can say all; the others are tested against brute force, round trips or the libraries themselves.
-ORACLES = {"op5_url_filter": url_filter.SQL, "op7_chat_format": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op5_url_filter": url_filter.SQL, "op7_chat_format": chat.SQL, "op10_exact_dedup": exact_dedup.SQL, "license_base_columns": licenses.SQL}
