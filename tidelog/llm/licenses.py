@@ -2,9 +2,9 @@
 
 Every text's runs of two and three words are hashed and joined with the positions of the same runs in the templates.
 A run at word i of the text and word j of a template votes for the diagonal i - j. Votes are summed by diagonal;
-neighbouring diagonals of one template, whose matches follow each other, are merged, so that a few words too many or
-too few don't part a passage; a passage has its template's label if its votes cover enough of the template. The words of
-each vote are compared, not just their hashes. The base phrases are templates of one run each.
+neighbouring diagonals of one template that lie side by side in the text are merged, so that a few words too many or
+too few don't part a passage; a passage is verified by the share of the template's runs that it covers, each counted once, and has
+its label if that is enough. The words of each vote are compared, not just their hashes. The base phrases are templates of one run each.
 
 The templates are a fixed list of some 1,500 runs, so they are broadcast. Each text is read once: besides the runs that
 some template has, it sends one row for itself. Only votes and that row are shuffled, after partial aggregation. Time is
@@ -77,7 +77,8 @@ def run_hash(words: list[str]) -> int:
 
 
 def votes(docs: DataFrame, base=BASE, passages=PASSAGES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, version (of the text, where rows repeat a doc_id), n_words, template, diagonal, n, first, last.
+    """doc_id, version (of the text, where rows repeat a doc_id), n_words, template, diagonal, n, first, last, places (of the
+    template; no more than it has).
 
     All runs of a text are hashed where its words are. Only places whose hash some template has leave the array, with their
     two or three words: time and memory are linear in the text's length.
@@ -102,8 +103,8 @@ def votes(docs: DataFrame, base=BASE, passages=PASSAGES, text: str = "text", doc
     # The hash passes over nulls, so the words are compared too.
     t = F.broadcast(templates).alias("t")
     same = (rows["hash"] == F.col("t.hash")) & (rows["a"] == F.col("t.a")) & (rows["b"] == F.col("t.b")) & rows["c"].eqNullSafe(F.col("t.c"))
-    found = rows.join(t, same).select("doc_id", "version", "n_words", "template", (F.col("word") - F.col("at")).alias("diagonal"), "word")
-    sums = F.count(F.lit(1)).alias("n"), F.min("word").alias("first"), F.max("word").alias("last")
+    found = rows.join(t, same).select("doc_id", "version", "n_words", "template", (F.col("word") - F.col("at")).alias("diagonal"), "word", "at")
+    sums = F.count(F.lit(1)).alias("n"), F.min("word").alias("first"), F.max("word").alias("last"), F.collect_set("at").alias("places")
     return found.groupBy("doc_id", "version", "n_words", "template", "diagonal").agg(*sums)
 
 
@@ -113,14 +114,17 @@ def scan(docs: DataFrame, base=BASE, passages=PASSAGES, cover: float = COVER, sh
     about = docs.sparkSession.createDataFrame([(t, label, is_base, n) for t, label, is_base, n, at, *_ in template_rows(base, passages) if at == 0], "template int, label string, is_base boolean, n_runs int")
     found = votes(docs, base, passages, text, doc_id).join(F.broadcast(about), "template")
     # Rows of one document with one text send everything as often as they are: that is how often its row comes back.
-    order = Window.partitionBy(*key, "template").orderBy("first", "diagonal")
-    last = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("is_base") | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > shift) | (F.col("first") - last > gap), F.lit(True))
-    found = found.withColumn("new", new.cast("int")).withColumn("passage", F.sum("new").over(order))
-    spans = found.groupBy(*key, "template", "label", "is_base", "n_runs", "passage").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    order = Window.partitionBy(*key, "template").orderBy("diagonal")
+    before = lambda c: F.lag(c).over(order)
+    apart = (F.col("diagonal") - before("diagonal") > shift) | (F.col("first") - before("last") > gap) | (before("first") - F.col("last") > gap)
+    found = found.withColumn("new", F.coalesce(F.col("is_base") | apart, F.lit(True)).cast("int"))
+    found = found.withColumn("passage", F.sum("new").over(order))
+    sums = F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered")
+    spans = found.groupBy(*key, "template", "label", "is_base", "n_runs", "passage").agg(*sums, covered)
     own = F.col("template") == 0
     times = F.max(F.when(own, F.col("n"))).over(Window.partitionBy(*key))
-    spans = spans.withColumn("times", times).withColumn("score", F.least(F.col("n") / F.col("times") / F.col("n_runs"), F.lit(1.0)))
+    spans = spans.withColumn("times", times).withColumn("score", F.col("covered") / F.col("n_runs"))
     base_hit = F.col("is_base")
     hit = ~own & (base_hit | (F.col("score") >= cover))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
