@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidelog.llm import exact_dedup, simhash
@@ -75,7 +76,8 @@ def test_simhash_against_brute_force(spark):
     assert kept == set(want)
 
 
-def test_links_within_three_bits_and_no_others(spark):
+@pytest.mark.parametrize("dealt", [{}, {"bucket_rows": 2000, "level": 3, "gather": 5000}])
+def test_links_within_three_bits_and_no_others(spark, dealt):
     rnd = np.random.default_rng(0)
     base = rnd.integers(0, 2**63, 60, dtype=np.uint64)
     more = [base]
@@ -85,7 +87,7 @@ def test_links_within_three_bits_and_no_others(spark):
             x ^= np.uint64(1) << rnd.integers(0, 64, len(x), dtype=np.uint64)
         more.append(x)
     prints = sorted(set(np.concatenate(more).view(np.int64).tolist()))
-    links = simhash.components(simhash.link(spark.createDataFrame([(x,) for x in prints], "fp long")))
+    links = simhash.components(simhash.link(spark.createDataFrame([(x,) for x in prints], "fp long"), **dealt))
     root = dict.fromkeys(prints)
     root.update({r["a"]: r["b"] for r in links.collect()})
     want = brute_components([x % (1 << 64) for x in prints])

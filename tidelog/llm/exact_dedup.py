@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import keep_rows, table, written
+from tidelog.llm.common import discard, keep_rows, table, written
 
 BLOCK_BYTES = 4096
 #: Sorted runs that names are dealt from; a name is its run's number and its place in the run.
@@ -81,6 +81,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "tex
     names = _named(cut.filter("block IS NOT NULL").select("key", "block"), ["block"], F.xxhash64("block")).select("key", "name")
     heads = cut.filter("pos = 0").select("row", "doc_id", "tag", "text_sha256", "n_blocks")
     level = written(places.join(names, "key").select("row", "pos", "n_blocks", "name"), "names")
+    heads = written(heads, "heads")
+    discard(cut)  # the texts' blocks, far larger than all that follows
     done, width = level.filter("n_blocks = 1").select("row", "name"), level.agg(F.max("n_blocks")).first()[0] or 1
     left = level.filter("n_blocks > 1").withColumn("n", F.col("n_blocks"))
     while width > 1:
@@ -112,6 +114,8 @@ def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text"
     stays = written(rows.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "tag")).alias("stay")), "groups")
     kept = F.expr("doc_id <=> stay.doc_id AND tag = stay.tag")
     verdicts = written(rows.join(stays, ["n_blocks", "name"]).select("doc_id", "tag", kept.alias("kept")), "verdicts")
+    discard(rows)
+    discard(stays)
     return keep_rows(docs, verdicts, F.xxhash64(text), True, doc_id)
 
 

@@ -343,7 +343,8 @@ def quality(docs: DataFrame, order: int = ORDER, most: int = MOST, reach: float
 
 def keep_good(docs: DataFrame, order: int = ORDER, most: int = MOST, reach: float = BAND, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
     """docs without the rows that quality() rejects; of rows that share a doc_id, each is judged on its own."""
-    return keep_rows(docs, _judged(docs, order, most, reach, text, doc_id, lang), _tag(text, lang), False, doc_id)
+    verdicts = written(_judged(docs, order, most, reach, text, doc_id, lang).select("doc_id", "tag", "kept"), "verdicts")
+    return keep_rows(docs, verdicts, _tag(text, lang), False, doc_id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

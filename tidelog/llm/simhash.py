@@ -39,8 +39,9 @@ NEAR = 65
 #: An odd factor deals variants over the buckets by their product's top bits; its inverse undoes it.
 _MIX = 0x9E3779B97F4A7C15
 _UNMIX = pow(_MIX, -1, 1 << 64)
-#: Fingerprints whose variants are built at once, and variants that a bucket should hold.
-_BATCH, _BUCKET_ROWS = 2048, 1 << 20
+#: Fingerprints whose variants are built at once, variants that a bucket should hold, bits that a shuffle deals by, and
+#: variants that are dealt on at once.
+_BATCH, _BUCKET_ROWS, _LEVEL, _GATHER = 2048, 1 << 20, 12, 1 << 22
 
 
 def shingle_hashes(data: bytes, n: int = SHINGLE) -> list[int]:
@@ -102,9 +103,28 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE, text: str = "text", doc_id:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(_fingerprints(n), "doc_id long, tag long, fp long")
 
 
-def _variants(bits: int):
-    """Rows (bucket, n, variants): a bucket's variants of one batch, sorted, with the number of the mask of each."""
+_BLOBS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("variants", pa.binary())])
+_BLOBS_SQL = "bucket int, n long, variants binary"
+
+
+def _blobs(mixed: np.ndarray, code: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Variants in blobs, one for each bucket (the first bits of a variant) that has any, sorted, with each one's number of its mask."""
+    order = np.argsort(mixed)
+    mixed, code = mixed[order], code[order]
+    bucket = (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(mixed))
+    # Byte planes, largest first: sorted values have runs there, which Spark's compression removes.
+    packed = [mixed[a:b].astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() + code[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(ends - starts), pa.array(packed, pa.binary())], schema=_BLOBS)
+
 
+def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(blob, np.uint8)
+    return np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view(">u8").ravel().astype(np.uint64), data[8 * n :].view(np.uint16)
+
+
+def _variants(bits: int):
     def run(batches):
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -112,15 +132,26 @@ def _variants(bits: int):
                 fps = every[at : at + _BATCH]
                 even = fps[np.bitwise_count(fps) % 2 == 0]
                 mixed = np.concatenate([(fps[:, None] ^ MASKS[:NEAR]).ravel(), (even[:, None] ^ MASKS[NEAR:]).ravel()]) * np.uint64(_MIX)
-                code = np.concatenate([np.tile(np.arange(NEAR, dtype=np.uint16), len(fps)), np.tile(np.arange(NEAR, len(MASKS), dtype=np.uint16), len(even))])
-                order = np.argsort(mixed)
-                mixed, code = mixed[order], code[order]
-                edges = np.searchsorted(mixed, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                blobs = []
-                for a, b in zip(edges, [*edges[1:], len(mixed)], strict=True):
-                    # Byte planes, largest first: sorted values have runs there, which Spark's compression removes.
-                    blobs.append(mixed[a:b].astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() + code[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array([len(x) // 10 for x in blobs], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "n", "variants"])
+                near, far = np.arange(NEAR, dtype=np.uint16), np.arange(NEAR, len(MASKS), dtype=np.uint16)
+                yield _blobs(mixed, np.concatenate([np.tile(near, len(fps)), np.tile(far, len(even))]), bits)
+
+    return run
+
+
+def _finer(bits: int, gather: int):
+    """Blobs that have met are cut by more bits, many of them at once, so that a blob stays far larger than its row's cost."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.append(_unpacked(n, blob))
+                size += n
+                if size >= gather:
+                    yield _blobs(np.concatenate([m for m, _ in held]), np.concatenate([c for _, c in held]), bits)
+                    held, size = [], 0
+        if held:
+            yield _blobs(np.concatenate([m for m, _ in held]), np.concatenate([c for _, c in held]), bits)
 
     return run
 
@@ -170,10 +201,6 @@ def _links(mixed: np.ndarray, code: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def _meet(radius: int):
-    def unpacked(n, blob):
-        data = np.frombuffer(blob, np.uint8)
-        return np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view(">u8").ravel().astype(np.uint64), data[8 * n :].view(np.uint16)
-
     def out(held):
         mixed, code = zip(*held, strict=True)
         a, b = _links(np.concatenate(mixed), np.concatenate(code), radius)
@@ -187,7 +214,7 @@ def _meet(radius: int):
                     yield out(held)
                     held = []
                 now = bucket
-                held.append(unpacked(n, blob))
+                held.append(_unpacked(n, blob))
         if held:
             yield out(held)
 
@@ -217,22 +244,30 @@ def components(links: DataFrame) -> DataFrame:
     return now
 
 
-def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): a path of links between all fingerprints of prints (fp) that chains of distance <= radius connect."""
+def link(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = _BUCKET_ROWS, level: int = _LEVEL, gather: int = _GATHER) -> DataFrame:
+    """(a, b): a path of links between all fingerprints of prints (fp) that chains of distance <= radius connect.
+
+    There are as many buckets as keep each near bucket_rows variants. A batch is dealt to at most 2 ** level of them, and where
+    there are more, what met is dealt on by the next bits: blobs grow in number as the fingerprints do, not as their square.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("variants are built for a radius of at most 3")
     spark = prints.sparkSession
     n = prints.count()
-    bits = max(6, int(np.ceil(np.log2(max(1, n * 561 / _BUCKET_ROWS)))))
-    sent = prints.select("fp").mapInArrow(_variants(bits), "bucket int, n long, variants binary")
-    met = sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(radius), "a long, b long")
+    bits = max(6, int(np.ceil(np.log2(max(1, n * 561 / bucket_rows)))))
+    dealt = min(bits, level)
+    sent = prints.select("fp").mapInArrow(_variants(dealt), _BLOBS_SQL).repartitionById(1 << dealt, "bucket")
+    while dealt < bits:
+        dealt = min(bits, dealt + level)
+        sent = sent.mapInArrow(_finer(dealt, gather), _BLOBS_SQL).repartitionById(1 << min(dealt, 16), "bucket")
+    met = sent.sortWithinPartitions("bucket").mapInArrow(_meet(radius), "a long, b long")
     out = written(met, "met")
     free_shuffles(spark)
     return out
 
 
-def _members(docs: DataFrame, radius: int, n: int, text: str, doc_id: str) -> DataFrame:
-    """Per row of docs: doc_id, tag, fp, and stay: the smallest doc_id of the component and the smallest tag with it."""
+def _members(docs: DataFrame, radius: int, n: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Tables: doc_id, tag, fp of each row of docs; fp and stay: the smallest doc_id of its component and the smallest tag with it."""
     rows = written(fingerprints(docs, n, text, doc_id), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")), "prints")
     met = link(prints, radius)
@@ -241,19 +276,25 @@ def _members(docs: DataFrame, radius: int, n: int, text: str, doc_id: str) -> Da
     member = prints.join(path, prints.fp == path.a, "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("first").alias("stay"))
     mapped = written(member.join(least, "root").select("fp", "stay"), "members")
-    return rows.join(mapped, "fp")
+    discard(path)
+    discard(prints)
+    return rows, mapped
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
-    return _members(docs, radius, n, text, doc_id).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("stay.doc_id").alias("component_id"))
+    rows, mapped = _members(docs, radius, n, text, doc_id)
+    return rows.join(mapped, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("stay.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row of each component: of its smallest doc_id (null only if it has no other); of that one's texts, an
     arbitrary but repeatable one, and one of the rows that repeat it. A doc_id's other texts go with their own components."""
     kept = F.expr("doc_id <=> stay.doc_id AND tag = stay.tag")
-    verdicts = written(_members(docs, radius, n, text, doc_id).select("doc_id", "tag", kept.alias("kept")), "verdicts")
+    rows, mapped = _members(docs, radius, n, text, doc_id)
+    verdicts = written(rows.join(mapped, "fp").select("doc_id", "tag", kept.alias("kept")), "verdicts")
+    discard(rows)
+    discard(mapped)
     return keep_rows(docs, verdicts, F.xxhash64(text), True, doc_id)
 
 
