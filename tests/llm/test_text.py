@@ -163,6 +163,79 @@ def test_perplexity_bands_keep_clean_and_reject_junk(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == sorted([(False, i) for i in range(150)] + [(False, 901)] * 2 + [(True, 0)])
 
 
+def plain_kneser_ney(texts, order):
+    """Modified Kneser-Ney by dictionaries: the negative log probability of a text, byte by byte."""
+    runs = Counter()
+    for t in texts:
+        data = b"\n" * (order - 1) + t.encode()
+        runs.update(data[i : i + order] for i in range(len(data) - order + 1))
+    levels = {order: runs}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(r[1:] for r in levels[k + 1])
+    about = {}
+    for k, counts in levels.items():
+        t = Counter(counts.values())
+        y = t[1] / max(1, t[1] + 2 * t[2])
+        d = [min(float(i), max(0.05, i - (i + 1) * y * t[i + 1] / max(1, t[i]))) for i in (1, 2, 3)]
+        less = lambda n, d=d: d[min(n, 3) - 1]
+        total, back = Counter(), Counter()
+        for r, n in counts.items():
+            total[r[:-1]] += n
+            back[r[:-1]] += less(n)
+        about[k] = {r: (n - less(n)) / total[r[:-1]] for r, n in counts.items()}, {c: back[c] / total[c] for c in total}
+
+    def chance(run):
+        p = 1 / 256
+        for k in range(1, order + 1):
+            own = run[-k:]
+            seen, weight = about[k]
+            if own[:-1] in weight:
+                p = seen.get(own, 0) + weight[own[:-1]] * p
+        return p
+
+    def score(text):
+        data = b"\n" * (order - 1) + text.encode()
+        return -sum(np.log(chance(data[i : i + order])) for i in range(len(data) - order + 1)) / len(text.encode())
+
+    return score
+
+
+def test_scores_are_those_of_a_plain_kneser_ney(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice(["the", "an", "ré", "ti", "on", "sh"]) for _ in range(rnd.randint(1, 4))) for _ in range(200)]
+    texts = [" ".join(rnd.choice(words) for _ in range(90)) for _ in range(40)]
+    odd = ["\U0001f600" * 80, "the"]  # too few words: they aren't references
+    score = plain_kneser_ney(texts, quality.ORDER)
+    df = spark.createDataFrame(list(enumerate(texts + texts[:5] + odd)), "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    got = {r["doc_id"]: r["score_milli"] for r in quality.quality(df).collect()}
+    assert len(got) == 47
+    for i, t in enumerate(texts + texts[:5] + odd):
+        assert abs(got[i] - 1000 * score(t)) <= 1.01, (i, got[i], 1000 * score(t))
+
+
+def test_the_lower_band_rejects_what_is_too_predictable(spark):
+    rnd = random.Random(13)
+    short = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 7))) for _ in range(400)]
+    long = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(12)]
+    clean = [" ".join(rnd.choice(long) if rnd.random() < 0.03 else rnd.choice(short) for _ in range(150)) for _ in range(150)]
+    listed = " ".join(rnd.choice(long) for _ in range(60))  # a list of known names: no sentence, and no window often enough
+    df = spark.createDataFrame(list(enumerate([*clean, listed])), "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert not got[150]["base_failed"] and not got[150]["kept"] and got[150]["score_milli"] < got[150]["low"]
+    assert all(got[i]["kept"] for i in range(150))
+
+
+def test_texts_above_a_piece_are_scored_whole(spark):
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice(["the", "an", "re", "ti", "on", "sh"]) for _ in range(rnd.randint(1, 4))) for _ in range(300)]
+    texts = [" ".join(rnd.choice(words) for _ in range(100)) for _ in range(30)] + [" ".join(rnd.choice(words) for _ in range(170_000))]
+    assert len(texts[-1]) > quality._PIECE
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert got[30]["n_words"] == 170_000 and got[30]["word_chars"] == sum(map(len, texts[-1].split()))
+    assert abs(got[30]["score_milli"] - 1000 * plain_kneser_ney(texts, quality.ORDER)(texts[-1][:20_000])) < 60
+
+
 def test_copies_of_a_text_do_not_move_the_bands(spark):
     rnd = random.Random(4)
     words = ["".join(rnd.choice(["the", "an", "re", "ti", "on", "sh"]) for _ in range(rnd.randint(1, 4))) for _ in range(300)]

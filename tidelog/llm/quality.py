@@ -33,7 +33,7 @@ from tidelog.llm.common import discard, free_shuffles, keep_rows, table, written
 
 ORDER = 5
 #: Entries of the model that are broadcast at once, of about 12 bytes each.
-MOST = 1 << 23
+MOST = 1 << 22
 BAND = 6.0
 #: A band's least reach beyond the quartiles, in thousandths of a nat.
 LEAST = 60
