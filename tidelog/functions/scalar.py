@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,3 +161,72 @@ def quick_hash(content: Column, piece: int = 4096) -> Column:
     n = F.length(content)
     middle = F.substr(content, F.greatest(F.lit(1), F.floor(n / 2).cast("int")), F.lit(piece))
     return F.sha1(F.concat_ws("|", F.substring(content, 1, piece), middle, F.right(content, F.lit(piece)), n.cast("string")).cast("binary"))
+
+
+def no_attributes(df, column: str = "attr"):
+    """Listing without attributes: they count as 0."""
+    return df.withColumn(column, F.lit(0).cast("long"))
+
+
+def touched(df, when: str, column: str = "mtime"):
+    """All files get one date."""
+    return df.withColumn(column, F.lit(when).cast("timestamp_ntz"))
+
+
+#: Names that an operating system keeps for devices.
+RESERVED = ("con", "prn", "aux", "nul", *(f"{n}{i}" for n in ("com", "lpt") for i in range(1, 10)))
+
+
+def unreserved(path: Column) -> Column:
+    """A part of a path whose stem is a device's name gets an underscore in front."""
+    parts = F.transform(F.split(path, "/"), lambda x: F.when(F.lower(F.substring_index(x, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), x)).otherwise(x))
+    return F.array_join(parts, "/")
+
+
+def flat(path: Column, by: str = "_") -> Column:
+    """All files in one folder: slashes become part of the name."""
+    return F.translate(path, "/", by)
+
+
+def case_collisions(df, path: str = "path"):
+    """Paths that differ in case only, by their lower-case form: folded, paths, first."""
+    own = df.select(path).distinct().groupBy(F.lower(path).alias("folded")).agg(F.count(F.lit(1)).alias("paths"), F.min(path).alias("first"))
+    return own.filter("paths > 1")
+
+
+def utf16(text: Column) -> Column:
+    return F.encode(text, "UTF-16LE")
+
+
+def from_utf16(data: Column) -> Column:
+    return F.decode(data, "UTF-16LE")
+
+
+def elias_gamma(n: Column) -> Column:
+    """The Elias-gamma code of a positive number as a string of bits: as many zeros as bits follow the first one, then all."""
+    bits = F.bin(n)
+    return F.when(n > 0, F.concat(F.repeat(F.lit("0"), F.length(bits) - 1), bits))
+
+
+def from_elias_gamma(code: Column) -> Column:
+    return F.conv(F.regexp_extract(code, "^0*(1[01]*)$", 1), 2, 10).cast("long")
+
+
+def stretched_key(password: Column, salt: Column, n: int = 16384, r: int = 8, p: int = 1, length: int = 32) -> Column:
+    """scrypt of a password, in hex. Meant for keys, not for tables: it is slow by design."""
+    @F.udf("string")
+    def one(word, grain):
+        if word is None or grain is None:
+            return None
+        return hashlib.scrypt(bytes(word), salt=bytes(grain), n=n, r=r, p=p, maxmem=1 << 28, dklen=length).hex()
+
+    return one(password.cast("binary"), salt.cast("binary"))
+
+
+def digests(content: Column, names=("sha3_256", "blake2b", "sha512")) -> Column:
+    """Hashes that the engine itself hasn't, as a struct of hex strings."""
+    @F.pandas_udf(", ".join(f"{n} string" for n in names))
+    def each(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({n: [None if x is None else hashlib.new(n, x).hexdigest() for x in data] for n in names})
+
+    return each(content.cast("binary"))

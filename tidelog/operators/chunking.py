@@ -119,3 +119,16 @@ def sparse_runs(data: bytes, page: int = 4096) -> list[tuple[int, int]]:
         else:
             out.append((at, len(piece)))
     return out
+
+
+def e8e9(data: bytes, back: bool = False) -> bytes:
+    """The filter for x86 code: after a call or jump (E8, E9) whose address' last byte is 0 or 255, the lower three bytes,
+    a relative address, get the place added (or taken off again). Done from the end on, back from the start on.
+    """
+    out, n = bytearray(data), len(data)
+    places = range(n - 4) if back else range(n - 5, -1, -1)
+    for i in places:
+        if out[i] & 254 == 0xE8 and (out[i + 4] + 1) & 254 == 0:
+            address = int.from_bytes(out[i + 1 : i + 4], "little") + (-i if back else i)
+            out[i + 1 : i + 4] = (address & 0xFFFFFF).to_bytes(3, "little")
+    return bytes(out)

@@ -85,3 +85,26 @@ def part_gaps(parts: DataFrame, part: str = "part") -> DataFrame:
     """Numbers that are missing between 1 and the largest part. Self-contained: numbers come from a range, not from pairs."""
     top = parts.agg(F.max(part).alias("top")).select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("top").cast("long"))).alias(part))
     return top.join(parts.select(F.col(part).cast("long").alias(part)), part, "left_anti")
+
+
+def compare_fragments(archive: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """path, equal: entries with size and an ordered list of fragment hashes, against files of the same form.
+
+    Both absent is no row; a folder (a path with a slash at its end) is equal if it is on both sides; otherwise the size
+    decides first, then the hashes in order, so trailing bytes make a file different.
+    """
+    a, b = archive.alias("a"), files.alias("b")
+    both = F.col(f"a.{key}").isNotNull() & F.col(f"b.{key}").isNotNull()
+    same = F.col("a.size").eqNullSafe(F.col("b.size")) & F.col("a.hashes").eqNullSafe(F.col("b.hashes"))
+    path = F.coalesce(f"a.{key}", f"b.{key}")
+    equal = both & (path.endswith("/") | same)
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(path.alias(key), equal.alias("equal"))
+
+
+def transfer_plan(local: DataFrame, remote: DataFrame, quick: str = "quick") -> DataFrame:
+    """path, action of an append-only transfer: send what the remote side has not, append to what it has the start of (less
+    bytes), keep what has the same size and quick hash, and report as conflict what differs otherwise. Nothing is deleted."""
+    a, b = local.alias("a"), remote.alias("b")
+    same = (F.col("a.size") == F.col("b.size")) & (F.col(f"a.{quick}") == F.col(f"b.{quick}"))
+    action = F.when(F.col("b.path").isNull(), "send").when(same, "keep").when(F.col("b.size") < F.col("a.size"), "append").otherwise("conflict")
+    return a.join(b, F.col("a.path") == F.col("b.path"), "left").select(F.col("a.path").alias("path"), action.alias("action"))

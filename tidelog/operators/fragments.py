@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +16,21 @@ def file_sizes(files: DataFrame, refs: DataFrame, fragments: DataFrame, key: str
 
 
 def to_blocks(refs: DataFrame, blocks: DataFrame, runs: int = 1) -> DataFrame:
-    """refs with block_id and start of the block that holds frag_id: the last one that starts at or before it.
+    """refs with block_id and start of the block that holds frag_id: by its count of fragments (frags), or without one the last
+    block that starts at or before it.
 
     Blocks are consecutive ranges of ids, so a block's number of widths is bounded: each block is exploded to the `width`-aligned
     cells that it touches, refs join on their cell, and a range condition picks within the cell. No join without an equality.
     """
     width = 1024
-    ranges = blocks.withColumn("next_start", F.lead("start").over(Window.orderBy("start")))
-    top = F.coalesce(F.col("next_start") - 1, F.greatest(F.col("start"), F.col("_max")))
-    most = refs.agg(F.max("frag_id").alias("_max"))
-    ranges = ranges.crossJoin(F.broadcast(most)).withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(top / width))))
+    if "frags" in blocks.columns:
+        ranges = blocks.filter("frags > 0").withColumn("next_start", F.col("start") + F.col("frags"))
+        top = F.col("next_start") - 1
+    else:
+        ranges = blocks.withColumn("next_start", F.lead("start").over(Window.orderBy("start")))
+        most = F.lit(refs.agg(F.max("frag_id")).first()[0])
+        top = F.coalesce(F.col("next_start") - 1, F.greatest(F.col("start"), most))
+    ranges = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(top / width))))
     cells = ranges.select("block_id", "start", "next_start", "cell")
     inside = (F.col("frag_id") >= F.col("start")) & (F.col("next_start").isNull() | (F.col("frag_id") < F.col("next_start")))
     return refs.withColumn("cell", F.floor(F.col("frag_id") / width)).join(cells, "cell").filter(inside).drop("cell", "next_start")
@@ -41,12 +47,41 @@ def offsets(refs: DataFrame, order: list[str], by: str = "path") -> DataFrame:
     return refs.withColumn("frag_offset", F.coalesce(before, F.lit(0)))
 
 
-def runs(refs: DataFrame, order: list[str], by: str = "path", block: str = "block_id") -> DataFrame:
-    """Consecutive fragment ids of one block, in the order of the file, as one write: by, block, first_frag, frags, bytes."""
+def _writes(most: int, columns: list[str]):
+    """Numbers the writes within runs that arrive sorted: a fragment that would take a write above `most` bytes begins another."""
+
+    def run(batches):
+        at, total, cut = None, 0, 0
+        for batch in batches:
+            cuts = []
+            for *key, size in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if key != at:
+                    at, total, cut = key, 0, 0
+                elif total + size > most:
+                    total, cut = 0, cut + 1
+                total += size
+                cuts.append(cut)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts, pa.int64())], names=[*batch.schema.names, "cut"])
+
+    return run
+
+
+def runs(refs: DataFrame, order: list[str], by: str = "path", block: str = "block_id", most: int = 0x7FFFFFFF) -> DataFrame:
+    """Consecutive fragment ids of one block, in the order of the file, as one write of at most `most` bytes (or one larger
+    fragment): by, run, block, first_frag, frags, bytes. Only runs above it leave the JVM, in order, to be cut.
+    """
     own = Window.partitionBy(by).orderBy(*order)
     new = F.coalesce(((F.col("frag_id") != F.lag("frag_id").over(own) + 1) | (F.col(block) != F.lag(block).over(own))), F.lit(True))
     islands = refs.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(own))
-    return islands.groupBy(by, "run").agg(F.min(block).alias(block), F.min("frag_id").alias("first_frag"), F.count(F.lit(1)).alias("frags"), F.sum("usize").alias("bytes"))
+    islands = islands.select(by, "run", block, "frag_id", F.col("usize").cast("long").alias("usize"))
+    sums = F.min(block).alias(block), F.min("frag_id").alias("first_frag"), F.count(F.lit(1)).alias("frags"), F.sum("usize").alias("bytes")
+    whole = islands.groupBy(by, "run").agg(*sums)
+    fine = whole.filter(F.col("bytes").isNull() | (F.col("bytes") <= most))
+    large = whole.filter(F.col("bytes") > most).select(by, "run")
+    parts = islands.join(large, [by, "run"], "left_semi").filter("usize IS NOT NULL").repartition(by, "run").sortWithinPartitions(by, "run", "frag_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", cut long"
+    cut = parts.mapInArrow(_writes(most, [by, "run", "usize"]), schema).groupBy(by, "run", "cut").agg(*sums).drop("cut")
+    return fine.unionByName(cut)
 
 
 def fixed_chunks(docs: DataFrame, size: int, content: str = "content", key: str = "path") -> DataFrame:

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def latest(log: DataFrame, path: str = "path", seq: str = "seq") -> DataFrame:
-    """The last entry of each path, tombstones included: one partial aggregation, no sort."""
-    rest = [c for c in log.columns if c != path]
-    return log.groupBy(path).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_last")).select(path, *(F.col(f"_last.{c}").alias(c) for c in rest))
+    """The last entry of each path, tombstones included. seq is unique in a path, so its greatest value finds the entry.
+
+    The greatest values come from a hash aggregation over two columns; then a hash semi-join, for an aggregation that
+    carries whole entries would sort them, as Spark's hash tables hold no strings.
+    """
+    last = log.groupBy(F.col(path).alias("_path")).agg(F.max(seq).alias("_seq")).hint("shuffle_hash")
+    out = log.join(last, (log[path] == last["_path"]) & (log[seq] == last["_seq"]), "left_semi")
+    return out.select(path, *(c for c in log.columns if c != path))
 
 
 def snapshot(log: DataFrame, path: str = "path", seq: str = "seq") -> DataFrame:
@@ -22,27 +27,30 @@ def snapshot(log: DataFrame, path: str = "path", seq: str = "seq") -> DataFrame:
 
 def until_version(log: DataFrame, ver: int) -> DataFrame:
     """The first `ver` versions; a negative number counts from the last one."""
-    return log.filter(F.col("ver") <= ver) if ver >= 0 else _cut(log, log.agg((F.max("ver") + 1 + ver).alias("stop")))
+    return log.filter(F.col("ver") <= ver) if ver >= 0 else _cut(log, log.agg(F.max("ver") + 1 + ver))
 
 
 def _cut(log: DataFrame, stop: DataFrame) -> DataFrame:
-    """Versions before stop, a table of one row; all if it is null."""
-    return log.crossJoin(F.broadcast(stop)).filter("stop IS NULL OR ver < stop").drop("stop")
+    """Versions before stop, a table of one number; all if it is null. The number is taken first, so that the cut is a
+    literal filter, which reaches the scan and prunes the catalogue's folders."""
+    first = stop.first()[0]
+    return log if first is None else log.filter(F.col("ver") < F.lit(first))
 
 
 def until_date(log: DataFrame, versions: DataFrame, date) -> DataFrame:
     """The log up to the first version that is later than date: a prefix, even where later versions have earlier dates."""
-    return _cut(log, versions.filter(F.col("date") > F.lit(date)).agg(F.min("ver").alias("stop")))
+    return _cut(log, versions.filter(F.col("date") > F.lit(date)).agg(F.min("ver")))
 
 
 def complete(log: DataFrame, versions: DataFrame) -> DataFrame:
     """The log before the first incomplete version (negative csize)."""
-    return _cut(log, versions.filter("csize < 0").agg(F.min("ver").alias("stop")))
+    return _cut(log, versions.filter("csize < 0").agg(F.min("ver")))
 
 
 def version_range(log: DataFrame, first: int | None = None, last: int | None = None, tail: int | None = None) -> DataFrame:
     if tail is not None:
-        return log.crossJoin(F.broadcast(log.agg(F.max("ver").alias("_max")))).filter(f"ver > _max - {int(tail)}").drop("_max")
+        top = log.agg(F.max("ver")).first()[0]
+        return log if top is None else log.filter(F.col("ver") > F.lit(top - int(tail)))
     if first is not None:
         log = log.filter(F.col("ver") >= first)
     return log if last is None else log.filter(F.col("ver") <= last)
@@ -62,7 +70,9 @@ def history(log: DataFrame, width: int = 4) -> DataFrame:
 
 def version_table(log: DataFrame, size: str = "size") -> DataFrame:
     """ver, date, lastdate, updates, deletes, csize; counters are over the whole log, whatever is selected later."""
-    return log.groupBy("ver").agg(F.min("mtime").alias("date"), F.max("mtime").alias("lastdate"), F.count_if(~F.col("deleted")).alias("updates"), F.count_if("deleted").alias("deletes"), F.sum(size).alias("csize"))
+    dates = F.min("mtime").alias("date"), F.max("mtime").alias("lastdate")
+    counts = F.count_if(~F.col("deleted")).alias("updates"), F.count_if("deleted").alias("deletes")
+    return log.groupBy("ver").agg(*dates, *counts, F.sum(size).alias("csize"))
 
 
 def numbered(blocks: DataFrame, offset: str = "offset") -> DataFrame:

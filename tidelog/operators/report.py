@@ -84,14 +84,48 @@ def summary(df: DataFrame, kind: str) -> DataFrame:
     return df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
 
 
-def csv_lines(df: DataFrame, columns: list[str], sep: str = ";") -> DataFrame:
-    return df.select(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("line"))
+def csv_lines(df: DataFrame, columns: list[str], sep: str = ";", header: str | None = None, footer: str | None = None) -> DataFrame:
+    """line, and with a header or footer text place (0, 1, 2) to order by. \\t as a separator is a tab."""
+    sep = "\t" if sep == "\\t" else sep
+    lines = df.select(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("line"))
+    if header is None and footer is None:
+        return lines
+    ends = [(text, place) for text, place in ((header, 0), (footer, 2)) if text is not None]
+    return lines.withColumn("place", F.lit(1)).unionByName(df.sparkSession.createDataFrame(ends, "line string, place int"))
+
+
+def errors_by_code(log: DataFrame, code: str = "code") -> DataFrame:
+    """How often each error code came, and its first and last place."""
+    return log.groupBy(code).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+def block_memory(blocks: DataFrame, by: str | None = None, usize: str = "usize") -> DataFrame:
+    """The most memory that extracting any one block takes, and the sum over all."""
+    return blocks.groupBy(*([by] if by else [])).agg(F.max(usize).alias("most"), F.sum(usize).alias("total"), F.count(F.lit(1)).alias("blocks"))
+
+
+def spread(df: DataFrame, value: str, by: str, shares=(0.25, 0.5, 0.9)) -> DataFrame:
+    """Exact percentiles of a value by group."""
+    return df.groupBy(by).agg(*(F.percentile(value, F.lit(q)).alias(f"p{round(100 * q)}") for q in shares))
+
+
+def running_total(rows: DataFrame, order: str, value: str, name: str = "before", ranges: int = 64) -> DataFrame:
+    """Adds the sum of value over all rows before each in order. Ranges of the order run side by side: approximate quantiles
+    place the cuts, each range's total is one row, and a window runs within a range only."""
+    cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
+    number = sum(((F.col(order) >= F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    numbered = rows.withColumn("_range", F.coalesce(number, F.lit(0)))
+    totals = numbered.groupBy("_range").agg(F.sum(value).alias("_total"))
+    earlier = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    out = numbered.withColumn("_own", F.coalesce(own, F.lit(0))).join(F.broadcast(earlier), "_range")
+    return out.select(*rows.columns, (F.col("_base") + F.col("_own")).alias(name))
 
 
 def volumes(parts: DataFrame, size: int, order: str = "offset", length: str = "size") -> DataFrame:
     """Number of the fixed-size volume that each part starts in."""
-    before = F.coalesce(F.sum(length).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("volume", (F.floor(before / size) + 1).cast("long"))
+    placed = running_total(parts, order, length, "_before")
+    return placed.withColumn("volume", (F.floor(F.col("_before") / size) + 1).cast("long")).drop("_before")
 
 
 def listing(tree: DataFrame, columns: list[str]) -> DataFrame:

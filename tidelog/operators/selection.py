@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 def glob_regex(glob: str) -> str:
     """* is any run and ? any one character, slashes too; letters match in either case (ASCII); descendants match as well."""
     body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
-    return f"(?is)^{body}" + (".*$" if glob.endswith("/") else "(/.*)?$")
+    return f"(?is)^{body}" + (r".*\z" if glob.endswith("/") else r"(/.*)?\z")
 
 
 def matches(path: Column, glob: str) -> Column:
@@ -47,7 +48,10 @@ def select_paths(df: DataFrame, files: Sequence[str] = (), only: Sequence[str] =
 
 
 #: What operating systems and sync tools leave behind; plain globs, so they can be extended.
-HOUSEKEEPING = ("*/.DS_Store", "*/._*", "*/.Spotlight-V100", "*/.Trashes", "*/@eaDir", "*/#recycle", "*/Thumbs.db", "*/desktop.ini", "*/.dropbox.cache", "*/System Volume Information", "*/$RECYCLE.BIN")
+HOUSEKEEPING = (
+    "*/.DS_Store", "*/._*", "*/.Spotlight-V100", "*/.Trashes", "*/@eaDir", "*/#recycle", "*/Thumbs.db", "*/desktop.ini",
+    "*/.dropbox.cache", "*/System Volume Information", "*/$RECYCLE.BIN",
+)
 
 
 def without_housekeeping(df: DataFrame, extra: Sequence[str] = (), path: str = "path") -> DataFrame:
@@ -101,16 +105,47 @@ def parse_range(text: str) -> tuple[int | None, int | None, int | None]:
     return first, (int(found[3]) if found[3] else None) if found[2] else first, None
 
 
+def selected_renamed(path: Column, to: Sequence[str], files: Sequence[str] = (), only: Sequence[str] = (), not_: Sequence[str] = ()) -> Column:
+    """selected() with renaming on: a file argument is matched against the path by the new name that it has, if it has one."""
+    return selected(path, [to[i] if i < len(to) else f for i, f in enumerate(files)], only, not_)
+
+
+def _last_valid(digits: int) -> datetime:
+    """The last point in time whose decimal YYYYMMDDHHMMSS isn't above the given one, which may be no date."""
+    year, rest = divmod(digits, 10**10)
+    month, day, hour, minute, second = (rest // 100**k % 100 for k in (4, 3, 2, 1, 0))
+    if month < 1:
+        return datetime(year - 1, 12, 31, 23, 59, 59)
+    if month > 12:
+        return datetime(year, 12, 31, 23, 59, 59)
+    if day < 1:
+        return datetime(year, month, 1) - timedelta(seconds=1)
+    if day > (days := monthrange(year, month)[1]):
+        return datetime(year, month, days, 23, 59, 59)
+    if hour > 23:
+        return datetime(year, month, day, 23, 59, 59)
+    return datetime(year, month, day, hour, 59, 59) if minute > 59 else datetime(year, month, day, hour, minute, min(second, 59))
+
+
 def parse_until(*words: str) -> int | datetime:
-    """A version number (negative counts from the end) or a date; a missing time of day is the latest one."""
-    if len(words) == 1 and re.fullmatch(r"-?\d{1,5}", words[0]):
+    """A version number (negative counts from the end) or a date.
+
+    All digits of the words make one number, lone digits with a zero before them. Up to seven digits are a version; a date
+    without hour, minute or second has the latest one. A negative version is one word.
+    """
+    if words and words[0].startswith("-"):
+        if len(words) > 1 or not re.fullmatch(r"-\d+", words[0]) or int(words[0]) == 0:
+            raise ValueError(f"not a version: {' '.join(words)}")
         return int(words[0])
-    digits = "".join(w.zfill(2) if len(w) == 1 else w for w in (re.sub(r"\D", "", x) for x in words))
-    if len(digits) not in (4, 6, 8, 10, 12, 14):
-        raise ValueError(f"not a date: {' '.join(words)}")
-    year = int(digits[:4])
-    if not 1900 <= year <= 2999:
-        raise ValueError("dates run from 1900 to 2999")
-    month = int(digits[4:6] or 12)
-    day = int(digits[6:8]) if len(digits) >= 8 else [31, 29 if year % 4 == 0 and (year % 100 or year % 400 == 0) else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][month - 1]
-    return datetime(year, month, day, int(digits[8:10] or 23), int(digits[10:12] or 59), int(digits[12:14] or 59))
+    runs = re.findall(r"[0-9]+", " ".join(words))
+    if not runs:
+        raise ValueError(f"neither a version nor a date: {' '.join(words)}")
+    number = int("".join(r.zfill(2) for r in runs))
+    for low, high, default in ((19000000, 29991231, 23), (1900000000, 2999123123, 59), (190000000000, 299912312359, 59)):
+        if low <= number <= high:
+            number = number * 100 + default
+    if number <= 9_999_999:
+        return number
+    if not 19000101000000 <= number <= 29991231235959:
+        raise ValueError(f"dates run from 19000101000000 to 29991231235959: {number}")
+    return _last_valid(number)

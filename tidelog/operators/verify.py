@@ -34,12 +34,62 @@ def block_faults(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("fault", fault).filter("fault IS NOT NULL").select("block_id", "fault")
 
 
+def block_check(blocks: DataFrame, fragments: int) -> DataFrame:
+    """The first structural fault of each block, in order of block_id; fragments: how many there are.
+
+    Blocks are some millions at most, a row for each; the window over them is split at no key but theirs.
+    """
+    order = Window.orderBy("block_id")
+    start, place = F.lag("start").over(order), F.lag(F.col("offset") + F.col("bsize")).over(order)
+    fault = (
+        F.when(F.col("bsize") < 0, "negative block size")
+        .when(F.col("start") < 1, "block starts at fragment 0")
+        .when(F.col("start") > fragments, "block start too high")
+        .when(F.col("start") < start, "unordered frags")
+        .when(F.col("start") == start, "empty block")
+        .when(F.col("offset") < place, "unordered blocks")
+    )
+    return blocks.withColumn("fault", fault).filter("fault IS NOT NULL").select("block_id", "fault")
+
+
+def three_way(stored: DataFrame, recomputed: DataFrame, reread: DataFrame, hash_: str = "sha1", key: str = "path") -> DataFrame:
+    """key, and whether the stored hash, the one of what the archive holds, and the one of the files agree (null: not there)."""
+    a, b, c = (df.select(F.col(key), F.col(hash_).alias(n)) for df, n in ((stored, "_stored"), (recomputed, "_made"), (reread, "_read")))
+    all_ = a.join(b, key, "full_outer").join(c, key, "full_outer")
+    return all_.select(key, (F.col("_stored") == F.col("_made")).alias("archive_ok"), (F.col("_stored") == F.col("_read")).alias("file_ok"))
+
+
+def quick_test(entries: DataFrame, tree: DataFrame, key: str = "path") -> DataFrame:
+    """Size and date only: key and whether both are as the entry has them; null where there is no file."""
+    a, b = entries.select(key, "size", "mtime").alias("a"), tree.select(key, "size", "mtime").alias("b")
+    same = (F.col("a.size") == F.col("b.size")) & (F.col("a.mtime") == F.col("b.mtime"))
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "left").select(F.col(f"a.{key}").alias(key), same.alias("ok"))
+
+
+def packed_sizes(blocks: DataFrame, versions: DataFrame, bsize: str = "bsize", csize: str = "csize") -> DataFrame:
+    """One row: bytes of all blocks, bytes that the versions' heads claim, and whether they agree."""
+    held, claimed = blocks.agg(F.sum(bsize).alias("dhsize")), versions.agg(F.sum(csize).alias("dcsize"))
+    both = held.unionByName(claimed, allowMissingColumns=True).agg(F.max("dhsize").alias("dhsize"), F.max("dcsize").alias("dcsize"))
+    return both.withColumn("ok", F.col("dhsize").eqNullSafe(F.col("dcsize")))
+
+
 def global_hash(parts: DataFrame, order: str = "part", hash_: str = "sha1", groups: int = 4096) -> DataFrame:
-    """One hash over all parts, our own definition: SHA-256 over the SHA-256 of each run of `groups` parts' hashes, in order."""
-    run = F.floor(F.col(order) / groups)
-    joined = lambda o, h: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(o).alias("o"), F.col(h).alias("h")))), lambda x: x["h"]), "")
-    inner = parts.groupBy(run.alias("run")).agg(F.sha2(joined(order, hash_).cast("binary"), 256).alias("h"))
-    return inner.agg(F.sha2(joined("run", "h").cast("binary"), 256).alias("sha256"), F.count(F.lit(1)).alias("runs"))
+    """One hash over all parts, our own definition: SHA-256 over the SHA-256 of each run of `groups` parts' hashes, in order.
+
+    Where there are more than `groups` runs, runs of runs are hashed first: a tree, so no task joins more than `groups` hashes.
+    runs is the number on the first level.
+    """
+
+    def joined(o: str, h: str):
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(o).alias("o"), F.col(h).alias("h"))))
+        return F.sha2(F.array_join(F.transform(pairs, lambda x: x["h"]), "").cast("binary"), 256)
+
+    level = parts.groupBy(F.floor(F.col(order) / groups).alias("run")).agg(joined(order, hash_).alias("h")).withColumn("n", F.lit(1).cast("long"))
+    top = (parts.agg(F.max(order)).first()[0] or 0) // groups
+    while top >= groups:
+        upper = F.floor(F.col("run") / groups).alias("run")
+        level, top = level.groupBy(upper).agg(joined("run", "h").alias("h"), F.sum("n").alias("n")), top // groups
+    return level.agg(joined("run", "h").alias("sha256"), F.sum("n").alias("runs"))
 
 
 def extraction_report(refs: DataFrame, done: DataFrame, by: str = "path") -> DataFrame:

@@ -56,7 +56,10 @@ def fragments(spark, sf) -> DataFrame:
 
 
 def blocks(spark, sf) -> DataFrame:
-    return spark.range(32).select(F.col("id").alias("block_id"), (1 + 64 * F.col("id")).alias("start"))
+    """A block for each 64 fragments of part."""
+    number = F.expr("p_partkey div 64").alias("block_id")
+    found = table(spark, sf, "part").groupBy(number).agg(F.count(F.lit(1)).alias("frags"))
+    return found.select("block_id", (1 + 64 * F.col("block_id")).alias("start"), "frags")
 
 
 def chunks(spark, sf, size: int = 512) -> DataFrame:
@@ -74,6 +77,6 @@ PAIR = f"""{TREE}, master AS (SELECT * FROM tree WHERE doc_id % 7 <> 0),
 REFS = """refs AS (SELECT l_orderkey AS path, l_partkey + 1 AS frag_id, CAST(l_quantity AS BIGINT) AS usize, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem)"""
 ORDER_SQL = ", ".join(REF_ORDER)
 FRAGMENTS = "fragments AS (SELECT p_partkey + 1 AS frag_id, p_name || p_brand || p_type AS content, sha1(p_name || p_brand || p_type) AS sha1, CAST(p_size AS BIGINT) AS usize FROM part)"
-BLOCKS = "blocks AS (SELECT range AS block_id, 1 + 64 * range AS start FROM range(32))"
+BLOCKS = "blocks AS (SELECT p_partkey // 64 AS block_id, 1 + 64 * (p_partkey // 64) AS start, count(*) AS frags FROM part GROUP BY ALL)"
 CHUNKS = "chunks AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i AS BIGINT) AS part, substring(text, CAST(i * 512 + 1 AS BIGINT), 512) AS chunk FROM documents, LATERAL (SELECT unnest(range(CAST(ceil(length(text) / 512.0) AS BIGINT))) AS i))"
 LATEST = "last AS (SELECT path, max_by(seq, seq) AS seq, max_by(deleted, seq) AS deleted, max_by(size, seq) AS size, max_by(mtime, seq) AS mtime, max_by(ver, seq) AS ver FROM cut GROUP BY path)"
