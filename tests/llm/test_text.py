@@ -24,18 +24,73 @@ def test_article_of_a_page():
     assert html_extract.blocks('<p class="notice">x<p>y') == [("y", False)]
 
 
+def lcs_length(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(1)
-    for _ in range(300):
-        a, b = rnd.sample(range(12), rnd.randint(0, 9)), rnd.sample(range(12), rnd.randint(0, 9))
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        got = sorted(html_extract.shared_lines([str(x) for x in a], [str(x) for x in b]))
-        assert len(got) == best[-1][-1]
-        rest = iter(b)
-        assert all(a[i] in rest for i in got)
+    assert html_extract.shared_lines(["x", "A", "x", "B"], ["A", "x", "B"]) == {1, 2, 3}
+    for n in range(900):
+        a, b = ([str(rnd.randrange(2 + n % 9)) for _ in range(rnd.randint(0, 14))] for _ in (0, 1))
+        for states in (1 << 20, 1, 200):  # all states kept, or some made again
+            got = sorted(html_extract.shared_lines(a, b, states))
+            assert len(got) == lcs_length(a, b), (a, b)
+            rest = iter(b)
+            assert all(a[i] in rest for i in got)
+
+
+def test_pages_that_repeat_one_line_are_aligned_quickly():
+    import time
+
+    began = time.perf_counter()
+    a, b = ["same"] * 20_000 + ["end"], ["start"] + ["same", "other"] * 10_000
+    assert len(html_extract.shared_lines(a, b)) == 10_000
+    a, b = [f"{i % 7}" for i in range(20_000)], [f"{i * i % 7}" for i in range(15_000)]
+    assert len(html_extract.shared_lines(a, b)) > 7_000
+    assert time.perf_counter() - began < 30
+
+
+def test_names_of_classes():
+    article = lambda inner, names="post related": f'<body><div class="menu">M</div><article class="{names}">{inner}</article></body>'
+    kept = lambda page: [x for x, m in html_extract.blocks(page) if m]
+    assert kept(article("<p>text</p>")) == ["text"]
+    assert kept(article('<div id="search-engines"><p>on engines</p></div><div class="search-box">Find</div><p class="share-price">up</p>')) == ["on engines", "up"]
+    assert kept(article('<header class="x"><h1>Head</h1><p>by me</p><nav>n</nav><h2>Sub</h2></header><p>text</p>')) == ["Head", "Sub", "text"]
+    assert kept(article('<p>text</p><article class="related">other</article><div class="related-posts">o</div><div class="comment-list">c</div>')) == ["text"]
+    assert kept(article("<header><h1>Head<p>x</article><p>after")) == ["Head", "x"]  # a heading ends at its end tag
+
+
+def test_differencing_against_brute_force(spark):
+    """Open pages of one host of 1,000: each meets the page of the longest common path, and loses what both have in order."""
+    import os.path
+
+    rnd = random.Random(7)
+    pages = {}
+    for i in range(1000):
+        section = rnd.randrange(30)
+        lines = [f"site line {k}" for k in range(4) if rnd.random() < 0.8] + [f"section {section} line {rnd.randrange(3)}" for _ in range(3)]
+        lines += [f"page {i} says {k} at some length, so that it isn't outweighed by what is shared" for k in range(6)] + ["again"] * rnd.randrange(3)
+        rnd.shuffle(lines)
+        pages[f"/{section:02}/{rnd.randrange(10**6):06}-{i}"] = (i, lines)
+    order = sorted(pages)
+    want = {}
+    for k, path in enumerate(order):
+        near = [order[m] for m in (k - 1, k + 1) if 0 <= m < len(order)]
+        other = max(near, key=lambda x: len(os.path.commonprefix([x, path])))  # the one before in a tie
+        assert len(os.path.commonprefix([other, path])) == max(len(os.path.commonprefix([x, path])) for x in order if x != path)
+        i, lines = pages[path]
+        shared = html_extract.shared_lines(lines, pages[other][1])
+        assert len(shared) == lcs_length(lines, pages[other][1])
+        want[i] = "\n".join(x for n, x in enumerate(lines) if n not in shared)
+    rows = [(i, f"http://one/{p[1:]}", "".join(f"<div>{x}</div>" for x in lines)) for p, (i, lines) in pages.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == want and sum(len(x.split("\n")) for x in want.values()) < sum(len(x) for _, x in pages.values()) - 1000
 
 
 def test_differencing_deletes_what_neighbours_share(spark):

@@ -2,7 +2,7 @@
 
 Each page is cut into blocks of text. Markup settles what it can: scripts, styles, menus, headers, footers, sidebars,
 forms, notices, adverts and comments are left out by element, role or class; blocks in an explicit main element
-(article, main, role=main, articleBody) are the article. What markup leaves open (all other blocks of a page without a main
+(article, main, role=main, articleBody) are the article, and of its own header the headings are. What markup leaves open (all other blocks of a page without a main
 element) is settled by differencing: pages of one host are sorted by URL path, each is paired with the neighbour whose path
 shares the longer prefix, the two pages' lines are aligned by longest common subsequence, and open lines that both have are
 deleted as the site's own. Lines of a main element vote but aren't deleted: copies of an article on one host share
@@ -11,8 +11,8 @@ article; then the neighbour on the other side (of a host's first and last page,
 that it has too are the site's own. On a host of two pages all shared lines go. Where no line would be left, the page is a copy
 of both and nothing is deleted.
 
-Lines are aligned by their n-th occurrence, so that the longest common subsequence is a longest increasing one: n log n
-steps even for pages that repeat one line. All pages are cut into ranges of host and path, so that a large host is split
+The alignment is a true longest common subsequence, repeated lines included, over the lines that both pages have; it takes one
+addition of a number as wide as one page for each line of the other, and bounded memory. All pages are cut into ranges of host and path, so that a large host is split
 and order is kept; the two pages on either side of a cut are sent to both ranges, so a page meets its true neighbours wherever
 the cuts are. A sample only places the cuts. There are at most about CELLS of them, and the driver has their keys. Pages are parsed
 before the shuffle: only their text is shuffled.
@@ -28,7 +28,7 @@ import html as _html
 import os.path
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict, deque
+from collections import defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,14 +48,23 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody tfoot thead caption tr ul".split())
 #: Elements whose end tag may be missing: the next of these ends them.
 _IMPLIED = {"p": _BLOCK, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _MAIN = {"article", "main"}
 _MAIN_ROLES = {"main", "article"}
 _SKIP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-#: Words of a class or id that mark what isn't the article.
+#: Words of a class or id that mark what isn't the article, wherever they stand.
 _SKIP_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription popup modal overlay "
-    "sidebar side widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments respond disqus replies share sharing social related recommended recommendations "
-    "pagination pager login signin signup search form skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe subscription popup "
+    "modal sidebar nav navbar navigation breadcrumb breadcrumbs footer comments disqus pagination".split()
+)
+#: Words that do so only in a name of which all other words are such, or these general ones: search-box, but not search-engines.
+_WEAK_WORDS = set(
+    "promo promotion banner notice alert overlay side widget menu header masthead topbar toolbar comment respond replies share sharing social related "
+    "recommended recommendations pager login signin signup search form skip".split()
+)
+_GENERAL = set(
+    "area article articles bar block body bottom box button buttons col column container content fixed global group icon icons inner item items label "
+    "left link links list main msg outer page panel post posts primary right row secondary section site slot small sticky title to top wrap wrapper".split()
 )
 _KEEP_WORDS = {"articlebody"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -65,14 +74,25 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _kind(name: str, attributes: str) -> str:
-    """main, skip, or nothing, by element, role, hidden state, class and id."""
+def _named(names: str) -> bool:
+    """Whether one of the names of a class or id marks what isn't the article."""
+    for name in names.split():
+        words = {w.lower() for w in _WORD.findall(name) if not w.isdigit()}
+        if words & _SKIP_WORDS or words & _WEAK_WORDS and words <= _WEAK_WORDS | _GENERAL:
+            return True
+    return False
+
+
+def _kind(name: str, attributes: str, within: bool) -> str:
+    """main, skip, or nothing, by element, role, hidden state, class and id. A main element that isn't within another is the
+    article whatever its names are."""
     if not attributes.strip():
         return "main" if name in _MAIN else "skip" if name in _SKIP else ""
     a = _attributes(attributes)
-    words = {w.lower() for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    role = a.get("role", "").lower()
-    if name not in ("body", "html") and (name in _SKIP or role in _SKIP_ROLES or words & _SKIP_WORDS or a.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) or "display:none" in a.get("style", "").replace(" ", "")):
+    role, style = a.get("role", "").lower(), a.get("style", "").replace(" ", "")
+    hidden = a.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes) or "display:none" in style
+    marked = name in _SKIP or role in _SKIP_ROLES or not (name in _MAIN and not within) and _named(f"{a.get('class', '')} {a.get('id', '')}")
+    if name not in ("body", "html") and (hidden or marked):
         return "skip"
     return "main" if name in _MAIN or role in _MAIN_ROLES or a.get("itemprop", "").lower() in _KEEP_WORDS else ""
 
@@ -82,6 +102,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     skip, depth, main = "", 0, 0
+    quiet, heading = 0, 0  # headers of the article that are open, and headings within them: only these are kept
     opened: list[tuple[str, bool]] = []  # main elements, and others of their names, that are open
     at, end = 0, len(page)
 
@@ -89,7 +110,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         if held:
             text = " ".join(_html.unescape("".join(held)).split())
             held.clear()
-            if text:
+            if text and (not quiet or heading):
                 out.append((text, main > 0))
 
     while at < end:
@@ -124,18 +145,27 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             flush()
         elif name in ("br", "td", "th"):
             held.append(" ")
+        if quiet and name in _HEADINGS:
+            heading += -1 if closing and heading else 0 if closing else 1
+        if quiet and name == "header":
+            quiet, heading = quiet + (-1 if closing else 1), 0
+            continue
         if closing:
             if any(x[0] == name for x in opened):
                 while opened:
                     last, was_main = opened.pop()
                     main -= was_main
+                    quiet = quiet if main else 0
                     if last == name:
                         break
             continue
-        kind = _kind(name, m[3])
+        kind = _kind(name, m[3], main > 0)
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
             continue
-        if kind == "skip":
+        if kind == "skip" and name == "header" and main:
+            flush()
+            quiet, heading = 1, 0
+        elif kind == "skip":
             flush()
             skip, depth = name, 1
         elif kind == "main" or any(x[0] == name for x in opened):
@@ -145,34 +175,67 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence with b, where a line's n-th occurrence can only meet its n-th."""
-
-    def numbered(lines):
-        seen = Counter()
-        for line in lines:
-            seen[line] += 1
-            yield line, seen[line]
-
-    place = {x: i for i, x in enumerate(numbered(b))}
-    ends: list[int] = []  # smallest end in b of a common subsequence of each length
-    last: list[int] = []  # and its place in a
-    back: dict[int, int] = {}
-    for i, x in enumerate(numbered(a)):
-        j = place.get(x)
-        if j is None:
+#: Bytes of states that an alignment keeps; beyond it, only some are kept and those between are made again.
+_STATES = 64 << 20
+
+
+def _aligned(a: list, b: list, states: int) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, by bit vectors as wide as b: one addition for each line of a."""
+    width, places = len(b), {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << width) - 1
+
+    def step(state, x):
+        hit = state & places.get(x, 0)
+        return (state + hit | state - hit) & full
+
+    every = max(1, -(-len(a) * (width // 8 + 32) // max(1, states)))
+    every = max(every, int(len(a) ** 0.5)) if every > 1 else 1
+    kept, state = [full], full
+    for i, x in enumerate(a, 1):
+        state = step(state, x)
+        if i % every == 0:
+            kept.append(state)
+    out, i, j, block, base = [], len(a), width, [], -1
+
+    def at(row):
+        """The state after `row` lines: a clear bit is a place of b where the subsequence grows."""
+        nonlocal block, base
+        if row // every != base:
+            base = row // every
+            block = [kept[base]]
+            for x in a[base * every : min(len(a), base * every + every - 1)]:
+                block.append(step(block[-1], x))
+        return block[row - base * every]
+
+    while i and j:
+        if at(i) >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if i and not at(i) >> j - 1 & 1:
             continue
-        k = bisect_left(ends, j)
-        ends[k : k + 1] = [j]
-        last[k : k + 1] = [i]
-        back[i] = last[k - 1] if k else -1
-    out, i = set(), last[-1] if last else -1
-    while i >= 0:
-        out.add(i)
-        i = back[i]
+        j -= 1
+        out.append((i, j))
     return out
 
 
+def shared_lines(a: list[str], b: list[str], states: int = _STATES) -> set[int]:
+    """Places in a of a longest common subsequence with b. Lines that the other page hasn't take no part."""
+    both = set(a) & set(b)
+    left = [i for i, x in enumerate(a) if x in both]
+    right = [x for x in b if x in both]
+    own, start = [a[i] for i in left], 0
+    while start < min(len(own), len(right)) and own[start] == right[start]:
+        start += 1
+    end = 0
+    while end < min(len(own), len(right)) - start and own[-1 - end] == right[-1 - end]:
+        end += 1
+    middle = _aligned(own[start : len(own) - end], right[start : len(right) - end], states)
+    return {left[k] for k in [*range(start), *(start + i for i, _ in middle), *range(len(own) - end, len(own))]}
+
+
 def settled(lines: list[str], is_main: list[bool], other: list[str] | None, copy: float = COPY, further: list[str] | None = None) -> str:
     """A page's text, given its blocks, its neighbour's, and those of a further neighbour."""
     if any(is_main):
