@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import table, tidy
 from tidelog.llm.pretokens import slices
-from tidelog.llm.token_output import END_ID, made
+from tidelog.llm.token_output import END_ID, forget, made
 
 LENGTHS = (1024, 2048, 4096, 8192)
 GROUP = 4 << 20
@@ -202,9 +202,10 @@ def pack_documents(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-total // group))
-    cut = rows.withColumn("tag", F.xxhash64("text")).mapInArrow(_cut(shared, end_id, max(lengths), groups, special_as_text), _PIECE_SQL)
+    cut = tidy(_cut(shared, end_id, max(lengths), groups, special_as_text), forget)
+    cut = rows.withColumn("tag", F.xxhash64("text")).mapInArrow(cut, _PIECE_SQL)
     dealt = cut.repartition("grp").sortWithinPartitions("grp", "place_in").select("doc_id", "piece", "grp", "width", "ids")
-    return dealt.mapInArrow(_bins(tuple(lengths), overhead, square), _BIN_SQL)
+    return dealt.mapInArrow(tidy(_bins(tuple(lengths), overhead, square)), _BIN_SQL)
 
 
 def _packed(docs: DataFrame) -> DataFrame:

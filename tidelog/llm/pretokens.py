@@ -52,9 +52,9 @@ class Chunks:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], store: int = STORE, apart: tuple[str, ...] = ()):
         self.encode, self.store, self.apart = encode, store, apart
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -98,7 +98,7 @@ class Chunks:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.store:
-            self._forget()
+            self.forget()
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import discard, free_shuffles, keep_rows, table, written
+from tidelog.llm.common import discard, free_shuffles, keep_rows, table, tidy, written
 
 ORDER = 5
 #: Entries of the model that are broadcast at once, of about 12 bytes each.
@@ -158,7 +158,7 @@ def _shard(part, shards: int):
 
 def model(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> dict[int, DataFrame]:
     """k -> lang, kind, run, value; kind 2k has probabilities of runs of k bytes, 2k + 1 weights of their contexts."""
-    counted = _distinct(docs, text, lang).mapInArrow(_counts(order), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    counted = _distinct(docs, text, lang).mapInArrow(tidy(_counts(order)), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     now, out = written(counted, "counts"), {}
     free_shuffles(docs.sparkSession)
     # Each order is a table of its own: short plans.
@@ -301,10 +301,10 @@ def _scored(docs: DataFrame, order: int, most: int, text: str, doc_id: str, lang
     for shard in range(shards):
         arrays = spark.sparkContext.broadcast(_arrays(tables, shard, shards))
         if shard:
-            part = rows.mapInArrow(_more_scores(arrays, order, shard, shards), "tag long, size long, more long")
+            part = rows.mapInArrow(tidy(_more_scores(arrays, order, shard, shards)), "tag long, size long, more long")
             more.append(written(part.groupBy("tag", "size").agg(F.first("more").alias("more")), "scores"))
         else:
-            scores = written(rows.mapInArrow(_scores(arrays, order, shards), _SQL_COLUMNS), "scores")
+            scores = written(rows.mapInArrow(tidy(_scores(arrays, order, shards)), _SQL_COLUMNS), "scores")
         arrays.destroy()
     for t in tables.values():
         discard(t)

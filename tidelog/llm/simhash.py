@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import discard, free_shuffles, keep_rows, table, written
+from tidelog.llm.common import discard, free_shuffles, keep_rows, table, tidy, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -100,7 +100,7 @@ def _fingerprints(n: int, chunk: int = 1 << 16):
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, tag (hash of the text as it is), fp: the fingerprint as a signed long."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(_fingerprints(n), "doc_id long, tag long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(tidy(_fingerprints(n)), "doc_id long, tag long, fp long")
 
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("variants", pa.binary())])
@@ -256,11 +256,11 @@ def link(prints: DataFrame, radius: int = RADIUS, bucket_rows: int = _BUCKET_ROW
     n = prints.count()
     bits = max(6, int(np.ceil(np.log2(max(1, n * 561 / bucket_rows)))))
     dealt = min(bits, level)
-    sent = prints.select("fp").mapInArrow(_variants(dealt), _BLOBS_SQL).repartitionById(1 << dealt, "bucket")
+    sent = prints.select("fp").mapInArrow(tidy(_variants(dealt)), _BLOBS_SQL).repartitionById(1 << dealt, "bucket")
     while dealt < bits:
         dealt = min(bits, dealt + level)
-        sent = sent.mapInArrow(_finer(dealt, gather), _BLOBS_SQL).repartitionById(1 << min(dealt, 16), "bucket")
-    met = sent.sortWithinPartitions("bucket").mapInArrow(_meet(radius), "a long, b long")
+        sent = sent.mapInArrow(tidy(_finer(dealt, gather)), _BLOBS_SQL).repartitionById(1 << min(dealt, 16), "bucket")
+    met = sent.sortWithinPartitions("bucket").mapInArrow(tidy(_meet(radius)), "a long, b long")
     out = written(met, "met")
     free_shuffles(spark)
     return out

@@ -124,6 +124,12 @@ def made(content: bytes, special_as_text: bool = False) -> Tokens:
     return _MADE[key]
 
 
+def forget() -> None:
+    """Empties this worker's stores of chunks."""
+    for tokens in _MADE.values():
+        tokens.chunks.forget()
+
+
 def _frames(shared, end_id: int, frame: int, special_as_text: bool):
     def run(batches):
         from pyspark import TaskContext
