@@ -111,7 +111,7 @@ def test_tokens_are_as_the_library_has_them():
     with open(path, "rb") as f:
         own = token_output.Tokens(f.read())
     texts = [t or "" for t in TEXTS] + random_texts(5000, 3)
-    for part in (texts[:40], texts[40:], texts):  # with an empty store, a partly filled one, and one that knows all
+    for part in (texts[:40], texts[40:], texts):  # chunks of several texts meet
         ids, n = own.encode(pa.array(part, pa.string()))
         want = [library.encode(t, add_special_tokens=False).ids for t in part]
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want

@@ -59,16 +59,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def tidy(run, done=None):
+def tidy(run):
     """A mapInArrow function that, once its task is over, gives memory back that the allocators would keep: a Python worker lives
-    on through the stages that follow, and an executor has several. done is called first."""
+    on through the stages that follow, and an executor has several."""
 
     def tidied(batches):
         try:
             yield from run(batches)
         finally:
-            if done:
-                done()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):

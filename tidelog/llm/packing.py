@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import table, tidy
 from tidelog.llm.pretokens import slices
-from tidelog.llm.token_output import END_ID, forget, made
+from tidelog.llm.token_output import END_ID, made
 
 LENGTHS = (1024, 2048, 4096, 8192)
 GROUP = 4 << 20
 #: What a sequence costs beside its length, and the length at which the quadratic part equals the linear one.
 OVERHEAD, SQUARE = 64, 32768
 #: Bytes of text that are tokenised at once.
-SLICE = 4 << 20
+SLICE = 16 << 20
 _BIN = pa.schema(
     [("bin_id", pa.int64()), ("bin_length", pa.int64()), ("opened_length", pa.int64()), ("n_tokens", pa.int64())]
     + [(n, pa.list_(pa.int64())) for n in ("doc_ids", "pieces", "places", "lengths")]
@@ -202,7 +202,7 @@ def pack_documents(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-total // group))
-    cut = tidy(_cut(shared, end_id, max(lengths), groups, special_as_text), forget)
+    cut = tidy(_cut(shared, end_id, max(lengths), groups, special_as_text))
     cut = rows.withColumn("tag", F.xxhash64("text")).mapInArrow(cut, _PIECE_SQL)
     dealt = cut.repartition("grp").sortWithinPartitions("grp", "place_in").select("doc_id", "piece", "grp", "width", "ids")
     return dealt.mapInArrow(tidy(_bins(tuple(lengths), overhead, square)), _BIN_SQL)

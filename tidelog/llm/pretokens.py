@@ -1,13 +1,13 @@
 """Encoding texts by way of the chunks between spaces, for tokenizers that split by the pattern of README's byte-level BPE.
 
-Arrow cuts a batch of texts at spaces and numbers the distinct chunks; only chunks that a worker hasn't met go to the
-tokenizer, and numpy lays the chunks' ids side by side. No step is a Python loop over words.
+Arrow cuts a batch of texts at spaces and numbers the distinct chunks; only these go to the tokenizer, and numpy lays the
+chunks' ids side by side. No step is a Python loop over words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import compress, repeat
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +19,13 @@ SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 _TANGLED = rf"[{SPACES}] [{SPACES}]|[{SPACES}] \z"
 #: Line feeds next to white space or an end; all others stand alone to the pattern, and chunks are cut there too.
 _JOINED = rf"\A\n|\n\z|[{SPACES}]\n|\n[{SPACES}]"
-#: Chunks that are kept, about 100 MB; beyond that the store starts anew. It only saves work.
-STORE = 1 << 19
-SLICE = 6 << 20
+#: Bytes of text that are encoded at once: enough for most of a text's chunks to come again, at about ten times that in memory.
+SLICE = 24 << 20
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The pieces of flat at the given starts, with the given lengths, side by side."""
-    to = np.cumsum(n)
+    to = np.cumsum(n, dtype=np.int64)
     total = int(to[-1]) if len(to) else 0
     size = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
     at = np.repeat((start - to + n).astype(size), n)
@@ -47,58 +46,36 @@ class Chunks:
     """ids(texts): all texts' ids side by side, and how many each has.
 
     encode takes strings that the pattern splits on their own and gives the same of them. Texts that hold one of `apart`
-    go to it whole.
+    go to it whole. Each distinct chunk of the texts is encoded once; nothing is kept, for looking up rare chunks in a store
+    of Python strings takes as long as encoding them again.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], store: int = STORE, apart: tuple[str, ...] = ()):
-        self.encode, self.store, self.apart = encode, store, apart
-        self.forget()
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], apart: tuple[str, ...] = ()):
+        self.encode, self.apart = encode, apart
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _rows(self, keys: list[str]) -> np.ndarray:
-        """Where each chunk's ids are; the chunks that are new are learnt. A key with a space at its end has no space before it."""
-        rows = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        if (missing := np.flatnonzero(rows < 0)).size:
-            new = list(dict.fromkeys(keys[i] for i in missing))
-            self._learn(new, [k[:-1] if k[-1:] == " " else f" {k}" for k in new])
-            rows[missing] = np.fromiter(map(self.known.get, (keys[i] for i in missing)), np.int64, len(missing))
-        return rows
-
-    def _learn(self, keys: list[str], chunks: list[str]) -> None:
-        flat, n = self.encode(chunks)
-        self.known.update(zip(keys, range(len(self.n), len(self.n) + len(keys)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.n, self.flat = np.concatenate([self.n, n]), np.concatenate([self.flat, flat])
-
-    def _entries(self, keys: list[str], lined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where in them each key's are. Keys that are lined are cut at line feeds and not kept themselves."""
-        if not lined.any():
-            rows = self._rows(keys)
-            return self.flat, self.start[rows], self.n[rows]
+    def _entries(self, chunks: list[str], lined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each chunk's are. Chunks that are lined are cut at line feeds."""
+        simple = list(compress(chunks, ~lined)) if lined.any() else chunks
+        place: dict[str, int] = {}
         parts, counts = [], []
-        for key in compress(keys, lined):
-            head, *rest = key.split("\n")  # the last part has the key's mark
-            mark = " " if key[-1] == " " else ""
-            parts.append(head + mark)
+        for chunk in compress(chunks, lined):
+            head, *rest = chunk.split("\n")
+            parts.append(place.setdefault(head, len(place)))
             for line in rest:
-                parts += ("\n ", line if line[-1] == " " else f"{line} ")
+                parts += (place.setdefault("\n", len(place)), place.setdefault(line, len(place)))
             counts.append(1 + 2 * len(rest))
-        simple = list(compress(keys, ~lined))
-        rows = self._rows(simple + parts)
-        own, part = rows[: len(simple)], rows[len(simple) :]
-        more, size = gathered(self.flat, self.start[part], self.n[part]), np.array(counts)
-        size = np.add.reduceat(self.n[part], np.cumsum(size) - size)
-        start, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        start[~lined], n[~lined] = self.start[own], self.n[own]
-        start[lined], n[lined] = len(self.flat) + np.cumsum(size) - size, size
-        return np.concatenate([self.flat, more]), start, n
+        flat, n = self.encode([*simple, *place])
+        start = np.cumsum(n) - n
+        if not parts:
+            return flat, start, n
+        part, size = len(simple) + np.array(parts), np.array(counts)
+        more, size = gathered(flat, start[part], n[part]), np.add.reduceat(n[part], np.cumsum(size) - size)
+        starts, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[~lined], sizes[~lined] = start[: len(simple)], n[: len(simple)]
+        starts[lined], sizes[lined] = len(flat) + np.cumsum(size) - size, size
+        return np.concatenate([flat, more]), starts, sizes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > self.store:
-            self.forget()
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -106,26 +83,26 @@ class Chunks:
         for x in self.apart:
             tangled = pc.or_(tangled, pc.match_substring(texts, x))
         whole = tangled.to_numpy(zero_copy_only=False)
-        words = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
-        # The first chunk has no space before it; it is kept under a key that has a space at its end.
+        words = pc.split_pattern(texts.filter(pa.array(~whole)) if whole.any() else texts, " ")
         counts = np.diff(words.offsets.to_numpy()).astype(np.int64)
-        first = np.cumsum(counts) - counts
+        first = np.cumsum(counts) - counts  # a text's first chunk has no space before it
         coded = words.flatten().dictionary_encode()
-        code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False)
+        lined = pc.and_not(pc.match_substring(coded.dictionary, "\n"), pc.match_substring_regex(coded.dictionary, _JOINED))
+        lined = lined.to_numpy(zero_copy_only=False)
         inside = np.ones(len(code), bool)
         inside[first] = False
         used = np.flatnonzero(np.bincount(code[inside], minlength=len(names)))
         of_first, first_code = np.unique(code[first], return_inverse=True)
-        keys = [names[i] for i in used] + [f"{names[i]} " for i in of_first]
-        lined = pc.and_not(pc.match_substring(coded.dictionary, "\n"), pc.match_substring_regex(coded.dictionary, _JOINED))
-        lined = lined.to_numpy(zero_copy_only=False)[np.concatenate([used, of_first])]
-        flat, start, n = self._entries(keys, lined)
-        place = np.zeros(len(names), np.int64)
+        chunks = [f" {x}" for x in names[used].tolist()] + names[of_first].tolist()
+        flat, start, n = self._entries(chunks, lined[np.concatenate([used, of_first])])
+        place = np.zeros(len(names), np.int32)
         place[used] = np.arange(len(used))
         at = place[code]
         at[first] = len(used) + first_code
+        start, n = start.astype(np.int32 if len(flat) < 1 << 31 else np.int64), n.astype(np.int32)
         if not whole.any():
-            return gathered(flat, start[at], n[at]), np.add.reduceat(n[at], first)
+            return gathered(flat, start[at], n[at]), np.add.reduceat(n[at], first, dtype=np.int64)
         more, size = self.encode(texts.filter(pa.array(whole)).to_pylist())
         start = np.concatenate([start[at], len(flat) + np.cumsum(size) - size])
         n, flat = np.concatenate([n[at], size]), np.concatenate([flat, more])
@@ -133,4 +110,4 @@ class Chunks:
         begin, many = np.zeros(len(whole), np.int64), np.ones(len(whole), np.int64)
         begin[~whole], many[~whole], begin[whole] = first, counts, len(at) + np.arange(len(size))
         order = gathered(np.arange(len(n)), begin, many)
-        return gathered(flat, start[order], n[order]), np.add.reduceat(n[order], np.cumsum(many) - many)
+        return gathered(flat, start[order], n[order]), np.add.reduceat(n[order], np.cumsum(many) - many, dtype=np.int64)

@@ -34,6 +34,7 @@ END_ID = 2
 #: How a byte-level vocabulary writes the space.
 _SPACE = "\u0120"
 #: A space and letters, and perhaps one mark: the usual pattern parts these before the mark, and only there.
+_ASCII = r"\A [A-Za-z]+[,.;:!?]?\z"
 _LATIN = r"\A [A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[,.;:!?]?\z"
 #: A space and a word, which has no white space at its ends and no space within.
 _WORD = rf"\A [^{SPACES}]([^ ]*[^{SPACES}])?\z"
@@ -70,15 +71,14 @@ class Tokens:
         #: Whether an id's bytes begin with a space.
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
-        self.chunks = Chunks(self._encode, apart=tuple(x["content"] for x in about.get("added_tokens") or []))
+        self.chunks = Chunks(self._encode, tuple(x["content"] for x in about.get("added_tokens") or []))
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks of a space and a word go to the library side by side: only their first ids begin with a space."""
         array = pa.array(chunks, pa.string())
-        latin = pc.match_substring_regex(array, _LATIN).to_numpy(zero_copy_only=False)
-        plain = pc.match_substring_regex(array, _WORD).to_numpy(zero_copy_only=False) & ~latin
-        found, masks = [], [latin, plain, ~latin & ~plain]
-        for mask, encode in zip(masks, (self._lines, self._joined, self._apart), strict=True):
+        ascii_, latin, plain = (pc.match_substring_regex(array, x).to_numpy(zero_copy_only=False) for x in (_ASCII, _LATIN, _WORD))
+        found, masks = [], [ascii_, latin & ~ascii_, plain & ~latin, ~(plain | latin)]
+        for mask, encode in zip(masks, (self._ascii, self._latin, self._joined, self._apart), strict=True):
             own = list(compress(chunks, mask))
             found.append((encode(own) or self._apart(own)) if own else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
         n, start, base = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), 0
@@ -95,11 +95,18 @@ class Tokens:
     def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         return self._split(self._apart(["".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)])[0], len(chunks))
 
-    def _lines(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _latin(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """A mark stands on a line of its own, as the pattern parts it; that its id doesn't begin with a space joins it again."""
         chunks = [c if c[-1] not in ",.;:!?" else f"{c[:-1]}\n{c[-1]}" for c in chunks]
         texts = ["\n".join(chunks[i : i + 500]).encode().decode("latin-1").translate(self.alphabet) for i in range(0, len(chunks), 500)]
         return self._split(self._apart(texts, self.by_line)[0], len(chunks))
 
+    def _ascii(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As _latin(); of these characters only the space is written differently in the alphabet."""
+        chunks = [c if c[-1] not in ",.;:!?" else f"{c[:-1]}\n{c[-1]}" for c in chunks]
+        texts = ["\n".join(chunks[i : i + 500]).replace(" ", _SPACE) for i in range(0, len(chunks), 500)]
+        return self._split(self._apart(texts, self.by_line)[0], len(chunks))
+
     def _apart(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         found = [np.zeros(0, np.uint32)]
         for at in range(0, len(texts), 1000):
@@ -124,12 +131,6 @@ def made(content: bytes, special_as_text: bool = False) -> Tokens:
     return _MADE[key]
 
 
-def forget() -> None:
-    """Empties this worker's stores of chunks."""
-    for tokens in _MADE.values():
-        tokens.chunks.forget()
-
-
 def _frames(shared, end_id: int, frame: int, special_as_text: bool):
     def run(batches):
         from pyspark import TaskContext
