@@ -19,6 +19,8 @@ SPACES = r"\t-\r\x1c- \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 _TANGLED = rf"[{SPACES}] [{SPACES}]|[{SPACES}] \z"
 #: Line feeds next to white space or an end; all others stand alone to the pattern, and chunks are cut there too.
 _JOINED = rf"\A\n|\n\z|[{SPACES}]\n|\n[{SPACES}]"
+#: A word of Latin letters and a mark, which the pattern parts before the mark.
+_MARKED = r"\A[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[,.;:!?]\z"
 #: Bytes of text that are encoded at once: enough for most of a text's chunks to come again, at about ten times that in memory.
 SLICE = 24 << 20
 
@@ -94,8 +96,29 @@ class Chunks:
         inside[first] = False
         used = np.flatnonzero(np.bincount(code[inside], minlength=len(names)))
         of_first, first_code = np.unique(code[first], return_inverse=True)
-        chunks = [f" {x}" for x in names[used].tolist()] + names[of_first].tolist()
-        flat, start, n = self._entries(chunks, lined[np.concatenate([used, of_first])])
+        # A word with a mark is mostly there without it too.
+        every = coded.dictionary.take(pa.array(used))
+        mark = pc.match_substring_regex(every, _MARKED)
+        marked = mark.to_numpy(zero_copy_only=False)
+        plain, both = every.filter(pc.invert(mark)), every.filter(mark)
+        heads = pc.utf8_slice_codeunits(both, 0, -1)
+        more = pc.unique(heads.filter(pc.is_null(pc.index_in(heads, value_set=plain))))
+        plain = pa.concat_arrays([plain, more])
+        marks = ",.;:!?"
+        head = pc.index_in(heads, value_set=plain).to_numpy(zero_copy_only=False).astype(np.int64)
+        tail = pc.index_in(pc.utf8_slice_codeunits(both, -1), value_set=pa.array(list(marks))).to_numpy(zero_copy_only=False).astype(np.int64)
+        simple, firsts = plain.to_numpy(zero_copy_only=False).tolist(), names[of_first].tolist()
+        has_line = np.concatenate([lined[used[~marked]], np.zeros(len(more), bool), lined[of_first], np.zeros(len(marks), bool)])
+        flat, start, n = self._entries([f" {x}" for x in simple] + firsts + list(marks), has_line)
+        pair = np.stack([head, len(simple) + len(firsts) + tail], 1).ravel()
+        joined = n[pair].reshape(-1, 2).sum(1)
+        flat, base = np.concatenate([flat, gathered(flat, start[pair], n[pair])]), len(flat)
+        starts, sizes = (np.zeros(len(used) + len(firsts), np.int64) for _ in range(2))
+        own = np.concatenate([~marked, np.ones(len(firsts), bool)])
+        take = np.concatenate([np.arange(len(used) - len(both)), len(simple) + np.arange(len(firsts))])
+        starts[own], sizes[own] = start[take], n[take]
+        starts[~own], sizes[~own] = base + np.cumsum(joined) - joined, joined
+        start, n = starts, sizes
         place = np.zeros(len(names), np.int32)
         place[used] = np.arange(len(used))
         at = place[code]

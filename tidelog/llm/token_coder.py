@@ -31,7 +31,6 @@ _TOP, _KEEP, _ALL = 46, (1 << 46) - 1, (1 << 62) - 1  # a word of 16 bits leaves
 #: Logistic tables in integers: stretch of p / 4096 in 1/256, and its inverse.
 _STRETCH = np.array([round(256 * float(np.log((p + 0.5) / (4095.5 - p)))) for p in range(4096)], np.int32)
 _SQUASH = np.array([min(3968, max(4, int(4096 / (1 + 2.718281828459045 ** (-x / 256))))) for x in range(-2304, 2305)], np.int32)
-_NEXT = np.array([1, 2, 3, 3], np.uint8)
 #: What adaptive chances move to, in 1/65536; they never reach it, so that every interval keeps a width.
 _YES, _NO, _RATE = 64000, 500, 5
 #: How sure order 1 is: shares of the most frequent follower, and the chances that each class starts from.
@@ -84,10 +83,9 @@ class _Model:
     """Tables of all blocks of a frame, one row each, flat. Indices are of the platform's own index type, which numpy needs no copy for."""
 
     def __init__(self, lanes: int, start: _Start):
-        self.follower, self.sure1 = start.follower.astype(np.int32), start.sure.astype(np.intp)
+        self.first = (start.follower << 3 | start.sure).astype(np.int64)  # order 1: the follower, and how sure it is
         self.base, self.row2, self.row1 = (np.arange(lanes, dtype=np.intp) * n for n in (1 << _SLOTS, 4, 8))
-        self.seen = np.zeros(lanes << _SLOTS, np.int32)
-        self.sure2 = np.zeros(lanes << _SLOTS, np.uint8)
+        self.seen = np.zeros(lanes << _SLOTS, np.int32)  # order 2: the symbol, and how often it held, up to 3
         self.p2, self.p1 = np.tile(_FIRST2, lanes), np.tile(_FIRST1, lanes)
         self.w2, self.w1 = np.full(lanes, 40000, np.int32), np.full(lanes, 26000, np.int32)
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -101,9 +99,9 @@ class _Model:
         at &= (1 << _SLOTS) - 1
         at += self.base
         self.at = at
-        self.c2, self.n2 = self.seen.take(at, mode="clip"), self.sure2.take(at, mode="clip")
-        self.c1 = self.follower.take(last, mode="clip")
-        self.k2, self.k1 = self.n2 + self.row2, self.sure1.take(last, mode="clip") + self.row1
+        cell, one = self.seen.take(at, mode="clip"), self.first.take(last, mode="clip")
+        self.c2, self.n2, self.c1 = cell >> 2, cell & 3, one >> 3
+        self.k2, self.k1 = self.n2 + self.row2, (one & 7) + self.row1
         self.q2, self.q1 = self.p2.take(self.k2, mode="clip"), self.p1.take(self.k1, mode="clip")
         self.s2, s1 = _STRETCH.take(self.q2 >> 4, mode="clip"), _STRETCH.take(self.q1 >> 4, mode="clip")
         same = self.c2 == self.c1
@@ -129,8 +127,9 @@ class _Model:
         gain = np.int32(_YES - _NO)
         self.p2[self.k2] = self.q2 + ((hit2 * gain + np.int32(_NO) - self.q2) >> _RATE)
         self.p1[self.k1] = self.q1 + ((hit1 * gain + np.int32(_NO) - self.q1) >> _RATE)
-        self.seen[self.at] = now
-        self.sure2[self.at] = _NEXT.take(self.n2, mode="clip") * hit2
+        held = np.minimum(self.n2 + 1, 3) * hit2
+        held |= now << 2
+        self.seen[self.at] = held
         self.before, self.last = self.last, now
 
 
@@ -162,6 +161,8 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     """
     ids = np.asarray(ids)
     block = block or min(BLOCK, max(128, len(ids) >> 11))
+    if len(ids) > 1 << 28:
+        raise ValueError("a frame has at most 2 ** 28 ids")
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
         raise ValueError("ids must be unsigned 32-bit integers")
     if len(ids) and ids.max() < 1 << 20:
