@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import table, tidy
 from tidelog.llm.pretokens import Chunks, gathered, slices
 
 _OFFSET = 0x100
 _MAP = {b: chr(_OFFSET + b) for b in range(256)}
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2
+#: Bytes of text that are encoded and decoded at once; their bytes are laid side by side too, so it is less than elsewhere.
+_SLICE = 6 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,7 +88,7 @@ class ByteBPE:
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         splits = [self.split(c) for c in chunks]
-        if len(self.pieces) > 400_000:
+        if len(self.pieces) > 200_000:
             self.pieces = {}
         pieces, new = self.pieces, []
         for p in {p for s in splits for p in s}:
@@ -137,7 +139,7 @@ def _tokenised(shared, digest: bytes, pattern: str):
     def run(batches):
         bpe, sha = _made(shared.value, digest, pattern), hashlib.sha256
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, _SLICE):
                 ids, n = bpe.encode_batch(rows.column(1))
                 data, ends = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(n) * 4)).tolist()
                 of_ids = [sha(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -151,7 +153,7 @@ def _encoded(shared, digest: bytes, pattern: str):
     def run(batches):
         bpe = _made(shared.value, digest, pattern)
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, _SLICE):
                 ids, n = bpe.encode_batch(rows.column(1))
                 ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
@@ -163,7 +165,7 @@ def _mapped_docs(docs: DataFrame, make, path: str, pattern: str, schema: str, te
     ranks = read_ranks(path)
     digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).digest()
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make(shared, digest, pattern), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(make(shared, digest, pattern)), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -90,8 +90,10 @@ class Chunks:
         first = np.cumsum(counts) - counts  # a text's first chunk has no space before it
         coded = words.flatten().dictionary_encode()
         code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False)
-        lined = pc.and_not(pc.match_substring(coded.dictionary, "\n"), pc.match_substring_regex(coded.dictionary, _JOINED))
-        lined = lined.to_numpy(zero_copy_only=False)
+        lined = pc.match_substring(coded.dictionary, "\n")
+        alone = ~pc.match_substring_regex(coded.dictionary.filter(lined), _JOINED).to_numpy(zero_copy_only=False)
+        lined = lined.to_numpy(zero_copy_only=False).copy()
+        lined[lined] = alone
         inside = np.ones(len(code), bool)
         inside[first] = False
         used = np.flatnonzero(np.bincount(code[inside], minlength=len(names)))

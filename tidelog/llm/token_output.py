@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import token_coder
-from tidelog.llm.common import scratch, table
+from tidelog.llm.common import scratch, table, tidy
 from tidelog.llm.pretokens import SLICE, SPACES, Chunks, gathered, slices
 
 FRAME = 1 << 22
 END_ID = 2
 #: How a byte-level vocabulary writes the space.
 _SPACE = "\u0120"
-#: A space and letters, and perhaps one mark: the usual pattern parts these before the mark, and only there.
-_ASCII = r"\A [A-Za-z]+[,.;:!?]?\z"
-_LATIN = r"\A [A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[,.;:!?]?\z"
+#: A space and letters: one word to the usual pattern.
+_ASCII = r"\A [A-Za-z]+\z"
+_LATIN = r"\A [A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+\z"
 #: A space and a word, which has no white space at its ends and no space within.
 _WORD = rf"\A [^{SPACES}]([^ ]*[^{SPACES}])?\z"
 FRAMES = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frame", pa.binary())])
@@ -75,12 +75,15 @@ class Tokens:
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks of a space and a word go to the library side by side: only their first ids begin with a space."""
+        left, rest, found, masks = np.arange(len(chunks)), chunks, [], []
         array = pa.array(chunks, pa.string())
-        ascii_, latin, plain = (pc.match_substring_regex(array, x).to_numpy(zero_copy_only=False) for x in (_ASCII, _LATIN, _WORD))
-        found, masks = [], [ascii_, latin & ~ascii_, plain & ~latin, ~(plain | latin)]
-        for mask, encode in zip(masks, (self._ascii, self._latin, self._joined, self._apart), strict=True):
-            own = list(compress(chunks, mask))
+        for pattern, encode in ((_ASCII, self._ascii), (_LATIN, self._latin), (_WORD, self._joined), ("", self._apart)):
+            fits = pc.match_substring_regex(array, pattern)
+            mask = fits.to_numpy(zero_copy_only=False)
+            own = list(compress(rest, mask))
             found.append((encode(own) or self._apart(own)) if own else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+            masks.append(left[mask])
+            left, rest, array = left[~mask], list(compress(rest, ~mask)), array.filter(pc.invert(fits))
         n, start, base = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), 0
         for mask, (ids, size) in zip(masks, found, strict=True):
             n[mask], start[mask] = size, base + np.cumsum(size) - size
@@ -96,14 +99,11 @@ class Tokens:
         return self._split(self._apart(["".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)])[0], len(chunks))
 
     def _latin(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """A mark stands on a line of its own, as the pattern parts it; that its id doesn't begin with a space joins it again."""
-        chunks = [c if c[-1] not in ",.;:!?" else f"{c[:-1]}\n{c[-1]}" for c in chunks]
         texts = ["\n".join(chunks[i : i + 500]).encode().decode("latin-1").translate(self.alphabet) for i in range(0, len(chunks), 500)]
         return self._split(self._apart(texts, self.by_line)[0], len(chunks))
 
     def _ascii(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """As _latin(); of these characters only the space is written differently in the alphabet."""
-        chunks = [c if c[-1] not in ",.;:!?" else f"{c[:-1]}\n{c[-1]}" for c in chunks]
         texts = ["\n".join(chunks[i : i + 500]).replace(" ", _SPACE) for i in range(0, len(chunks), 500)]
         return self._split(self._apart(texts, self.by_line)[0], len(chunks))
 
@@ -145,13 +145,18 @@ def _frames(shared, end_id: int, frame: int, special_as_text: bool):
         for batch in batches:
             for rows in slices(batch, 1, min(SLICE, 4 * frame)):
                 ids, n = tokens.encode(rows.column(1))
-                held.append(np.insert(ids, np.cumsum(n), end_id))
-                lengths.append(n + 1)
-                doc_ids += rows.column(0).to_pylist()
-                size += len(held[-1])
-                if size >= frame:
-                    yield row()
-                    doc_ids, held, lengths, size, part = [], [], [], 0, part + 1
+                ids, own = np.insert(ids, np.cumsum(n), end_id), rows.column(0).to_pylist()
+                ends = np.cumsum(n + 1)
+                # A slice of more ids than a frame is cut at documents, into parts of about one size.
+                cuts = np.unique(np.searchsorted(ends, np.linspace(0, ends[-1], max(1, round(len(ids) / frame)) + 1)[1:-1]))
+                for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                    held.append(ids[ends[a - 1] if a else 0 : ends[b - 1] if b else 0])
+                    lengths.append(n[a:b] + 1)
+                    doc_ids += own[a:b]
+                    size += len(held[-1])
+                    if size >= frame or b < len(own) and size:
+                        yield row()
+                        doc_ids, held, lengths, size, part = [], [], [], 0, part + 1
         if held:
             yield row()
 
@@ -175,7 +180,7 @@ def write(
     # Rows that share a doc_id (or have none) may fill several ranges: their number parts them.
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = rows.repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
-    rows.mapInArrow(_frames(shared, end_id, frame, special_as_text), FRAMES_SQL).write.parquet(path)
+    rows.mapInArrow(tidy(_frames(shared, end_id, frame, special_as_text)), FRAMES_SQL).write.parquet(path)
 
 
 _READ = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -215,7 +220,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     shards = shards.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
     parts = parts.withColumn("within", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part")) - F.col("n_ids"))
     starts = parts.join(shards, "shard").select("shard", "part", (F.col("before") + F.col("within")).alias("base"))
-    found = files.select("shard", "part", "doc_ids", "lengths", "frame").mapInArrow(_documents, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = files.select("shard", "part", "doc_ids", "lengths", "frame").mapInArrow(tidy(_documents), "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
