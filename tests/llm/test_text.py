@@ -309,6 +309,32 @@ def test_copies_of_a_text_do_not_move_the_bands(spark):
         assert {i: got[i] for i in want} == want and all(got[1000 + i][0] for i in range(copies))
 
 
+@pytest.mark.parametrize("bits", [6, 8, 24])
+def test_each_text_of_a_language_counts_once(spark, bits):
+    rows = [(i % 40, f"text {i % 300}" if i % 7 else None, ("en", "de", None, "")[i % 4]) for i in range(1000)] + [(1, f"own {i}", "en") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = quality._distinct(docs, quality._copied(docs, "text", "lang", bits), "text", "lang", bits).collect()
+    want = {(t and t.encode(), lang or "") for _, t, lang in rows}
+    assert {(r["text"] and bytes(r["text"]), r["lang"]) for r in got} == want and len(got) == len(want)
+
+
+def test_texts_without_copies_are_not_shuffled(spark, tmp_path):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)) for _ in range(200)]
+    path = f"{tmp_path}/docs.parquet"
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, *texts[:10]])], "doc_id long, text string, lang string").write.parquet(path)
+
+    def shuffled():
+        none, store = spark._jvm.java.util.ArrayList(), spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    # None of the texts is a reference, so all that is shuffled are keys and texts.
+    quality.model(spark.read.parquet(path))
+    assert sum(n for k, n in shuffled().items() if k not in before) < 1_000_000  # the texts have 4,200,000 bytes, those with copies 400,000
+
+
 def test_unseen_runs_stay_unseen_in_a_varied_corpus(spark):
     rnd = random.Random(8)
     some = lambda: "".join(chr(rnd.choice([97 + rnd.randrange(26), 97 + rnd.randrange(26), 0x4E00 + rnd.randrange(20_000)])) for _ in range(6))

@@ -34,6 +34,8 @@ from tidelog.llm.common import discard, free_shuffles, keep_rows, table, tidy, w
 ORDER = 5
 #: Entries of the model that are broadcast at once, of about 12 bytes each.
 MOST = 1 << 22
+#: Bits of the number of places that texts' keys are marked in if several rows have them: a table of 2 MB.
+PLACES = 24
 BAND = 6.0
 #: A band's least reach beyond the quartiles, in thousandths of a nat.
 LEAST = 60
@@ -143,11 +145,29 @@ def _tag(text: str, lang: str):
     return F.xxhash64(F.col(text), F.col(lang))
 
 
-def _distinct(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """doc_id (none), text, lang: each text of a language once. Copies meet in the partial aggregation, so none is hot."""
+def _places(docs: DataFrame, text: str, lang: str, bits: int) -> DataFrame:
+    """text, lang, key, and the key's place of 2 ** bits: a word of 64 places, and its mark in it."""
     rows = docs.select(F.col(text).cast("binary").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
-    once = rows.groupBy("lang", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")).agg(F.first("text").alias("text"))
-    return once.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
+    rows = rows.withColumn("key", F.xxhash64("text", "lang"))
+    return rows.withColumns({"word": F.shiftrightunsigned("key", 70 - bits), "mark": F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int))")})
+
+
+def _copied(docs: DataFrame, text: str, lang: str, bits: int = PLACES) -> DataFrame:
+    """word, marks: the places of keys that several rows have. However many these are, the table has a fixed size at most."""
+    often = _places(docs, text, lang, bits).groupBy("key", "word", "mark").count().filter("count > 1")
+    return often.groupBy("word").agg(F.bit_or("mark").alias("marks"))
+
+
+def _distinct(docs: DataFrame, copied: DataFrame, text: str, lang: str, bits: int = PLACES) -> DataFrame:
+    """doc_id (none), text, lang: each text of a language once.
+
+    A text in a place that isn't marked has no copy and is not shuffled. The others are, by two hashes; copies meet in the
+    partial aggregation, so none is hot.
+    """
+    rows = _places(docs, text, lang, bits).join(F.broadcast(copied), "word", "left")
+    marked = F.coalesce(F.col("marks").bitwiseAND(F.col("mark")) != 0, F.lit(False))
+    once = rows.filter(marked).groupBy("lang", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")).agg(F.first("text").alias("text"))
+    return rows.filter(~marked).select("text", "lang").unionByName(once.select("text", "lang")).select(F.lit(None).cast("long").alias("doc_id"), "text", "lang")
 
 
 def _shard(part, shards: int):
@@ -158,8 +178,10 @@ def _shard(part, shards: int):
 
 def model(docs: DataFrame, order: int = ORDER, text: str = "text", lang: str = "lang") -> dict[int, DataFrame]:
     """k -> lang, kind, run, value; kind 2k has probabilities of runs of k bytes, 2k + 1 weights of their contexts."""
-    counted = _distinct(docs, text, lang).mapInArrow(tidy(_counts(order)), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    copied = written(_copied(docs, text, lang), "copied")
+    counted = _distinct(docs, copied, text, lang).mapInArrow(tidy(_counts(order)), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     now, out = written(counted, "counts"), {}
+    discard(copied)
     free_shuffles(docs.sparkSession)
     # Each order is a table of its own: short plans.
     for k in range(order, 0, -1):
