@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tidelog.llm import bpe, token_coder, token_output
+from tidelog.llm import bpe, kept_chunks, token_coder, token_output
 
 TEXTS = ["", None, "a", " ", "  ", "   x", "a\n \nb", "a  \n", "tab\t\t x", "Ünïcode 漢字 😀  ok", "it's we'll 123 45", "\x1c \x85", "<|endoftext|> x", "a<|endoftext|>b c", "word " * 3000, "z" * 3000, "a　  b"]
 
@@ -118,6 +118,47 @@ def test_tokens_are_as_the_library_has_them():
         assert part == texts[40:] or sum(x.count(50256) for x in want) >= 2  # the library makes tokens of their strings
 
 
+@pytest.mark.parametrize("most", [3, 1000])
+def test_ids_of_words_are_kept_for_later_texts(most):
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        own = token_output.Tokens(f.read(), kept=most)
+    asked, encode = [], own.chunks.encode
+    own.chunks.encode = lambda chunks: asked.extend(chunks) or encode(chunks)
+    words = [f"{a}{b}" for a in ("wor", "Ünï", "l1ne", "long" * 9) for b in ("d", "ed", "dly", "ß")]
+    texts = [" ".join(["first", *words, *(f"{w}," for w in words)]), "first a.\nb word", *random_texts(200, 4)]
+    again = []
+    for part in (texts[:2], texts[:2], texts, texts[::-1]):
+        asked.clear()
+        ids, n = own.encode(pa.array(part, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in part]
+        kept = own.chunks.words.to_pylist()
+        assert len(kept) == len(set(kept)) <= most and all(len(w.encode()) <= 32 for w in kept)
+        again.append((sum(f" {w}" in asked for w in words[:12]), {"first", " a.", "b"} <= set(asked)))
+    assert again[:2] == [(12, True), {3: (9, True), 1000: (0, False)}[most]]
+
+
+def test_words_are_parted_from_marks_as_the_library_has_it():
+    with open(P.path("byte_bpe_50k.json"), "rb") as f:
+        own, library = token_output.Tokens(f.read(), kept=9), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    asked, encode = [], own.chunks.encode
+    own.chunks.encode = lambda chunks: asked.extend(chunks) or encode(chunks)
+    marks = ["", ".", "&&&", ".%%%", "'", "''", "'s", "-", "(-)", "!?`", "\\", "_", "1.", "§", "]^", "'s.", "#a#"]
+    text = "first" + "".join(f" {w}{m}" for w in ("word", "Über", "a", "isn't") for m in marks)
+    ids, _ = own.encode(pa.array([text]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert {" word", ".%%%"} <= set(asked) and not {" word.", " word&&&", " word.%%%", " Über]^"} & set(asked)
+
+
+def test_slices_have_about_one_size():
+    def sizes(n, limit):
+        return [len(x) for x in kept_chunks.even_slices(pa.RecordBatch.from_arrays([pa.array(["x"] * n, pa.string())], names=["text"]), 0, limit)]
+
+    assert sizes(0, 10) == [] and sizes(1, 10) == [1] and sizes(168, 160) == [168]
+    assert sizes(200, 160) == [100, 100] and sizes(1000, 160) == [143] * 6 + [142] and sizes(5, 1) == [1] * 5
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     out = f"file://{tmp_path}/none"
     token_output.write(frame(spark, []), out, P.path("byte_bpe_50k.json"))

@@ -30,9 +30,11 @@ _TOP, _KEEP, _ALL = 46, (1 << 46) - 1, (1 << 62) - 1  # a word of 16 bits leaves
 
 #: Logistic tables in integers: stretch of p / 4096 in 1/256, and its inverse.
 _STRETCH = np.array([round(256 * float(np.log((p + 0.5) / (4095.5 - p)))) for p in range(4096)], np.int32)
+_STRETCH = np.concatenate([_STRETCH, -_STRETCH >> 2])  # the second half is for order 1 where it has another id than order 2
 _SQUASH = np.array([min(3968, max(4, int(4096 / (1 + 2.718281828459045 ** (-x / 256))))) for x in range(-2304, 2305)], np.int32)
 #: What adaptive chances move to, in 1/65536; they never reach it, so that every interval keeps a width.
 _YES, _NO, _RATE = 64000, 500, 5
+_GAIN, _LEAST, _FULL, _LIMIT = np.array([_YES - _NO, _NO, 4095, 200000], np.int32)
 #: How sure order 1 is: shares of the most frequent follower, and the chances that each class starts from.
 _SHARES = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75])
 _FIRST2 = np.array([1000, 16000, 32000, 45000], np.int32)
@@ -47,9 +49,8 @@ class _Start:
         self.cum = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.int64)
 
     @classmethod
-    def of(cls, symbols: np.ndarray, ids: np.ndarray) -> _Start:
+    def of(cls, symbols: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> _Start:
         n, bits = len(ids), max(16, (4 * len(ids) - 1).bit_length())
-        counts = np.bincount(symbols, minlength=n)
         freq = 1 + counts * ((1 << bits) - n) // max(1, len(symbols))
         freq[np.argmax(freq)] += (1 << bits) - freq.sum()
         pairs = symbols[:-1].astype(np.uint32 if n <= 65536 else np.uint64)
@@ -99,37 +100,48 @@ class _Model:
         at &= (1 << _SLOTS) - 1
         at += self.base
         self.at = at
-        cell, one = self.seen.take(at, mode="clip"), self.first.take(last, mode="clip")
+        cell, one = self.seen.take(at, mode="clip").astype(np.int64), self.first.take(last, mode="clip")
         self.c2, self.n2, self.c1 = cell >> 2, cell & 3, one >> 3
         self.k2, self.k1 = self.n2 + self.row2, (one & 7) + self.row1
         self.q2, self.q1 = self.p2.take(self.k2, mode="clip"), self.p1.take(self.k1, mode="clip")
-        self.s2, s1 = _STRETCH.take(self.q2 >> 4, mode="clip"), _STRETCH.take(self.q1 >> 4, mode="clip")
-        same = self.c2 == self.c1
-        self.s1 = np.where(same, s1, -s1 >> 2)
+        other = (self.c2 != self.c1).astype(np.int32)
+        self.s2, self.s1 = _STRETCH.take(self.q2 >> 4, mode="clip"), _STRETCH.take(self.q1 >> 4 | other << 12, mode="clip")
         mixed = self.w2 * self.s2
         mixed += self.w1 * self.s1
         mixed >>= 16
         mixed += 2304
         self.pa = _SQUASH.take(mixed, mode="clip")
         a = self.pa << 4
-        b = (65536 - a).astype(np.int64)
-        b *= self.q1
+        b = (65536 - a).view(np.uint32)  # times a chance, it is below 2 ** 32
+        b *= self.q1.view(np.uint32)
         b >>= 16
-        b[same] = 0
-        b += a
-        return a, b
+        b *= other.view(np.uint32)
+        b += a.view(np.uint32)
+        return a.astype(np.int64), b.astype(np.int64)
 
     def update(self, now, hit2, hit1) -> None:
-        error = hit2 * np.int32(4095) - self.pa
+        hits = hit2.astype(np.int32)
+        error = hits * _FULL
+        error -= self.pa
         for w, s in ((self.w2, self.s2), (self.w1, self.s1)):
-            w += error * s >> 9
-            np.clip(w, -200000, 200000, out=w)
-        gain = np.int32(_YES - _NO)
-        self.p2[self.k2] = self.q2 + ((hit2 * gain + np.int32(_NO) - self.q2) >> _RATE)
-        self.p1[self.k1] = self.q1 + ((hit1 * gain + np.int32(_NO) - self.q1) >> _RATE)
-        held = np.minimum(self.n2 + 1, 3) * hit2
+            s *= error
+            s >>= 9
+            w += s
+            np.minimum(w, _LIMIT, out=w)
+            np.maximum(w, -_LIMIT, out=w)
+        for p, k, q, hit in ((self.p2, self.k2, self.q2, hits), (self.p1, self.k1, self.q1, hit1.astype(np.int32))):
+            hit *= _GAIN
+            hit += _LEAST
+            hit -= q
+            hit >>= _RATE
+            hit += q
+            p[k] = hit
+        held = self.n2
+        held += 1
+        np.minimum(held, 3, out=held)
+        held *= hit2.astype(np.int64)
         held |= now << 2
-        self.seen[self.at] = held
+        self.seen[self.at] = held.astype(np.int32)
         self.before, self.last = self.last, now
 
 
@@ -137,21 +149,34 @@ def _interval(start: _Start, now, a, b, hit2, hit1):
     """Start and width of each block's id, in 1 / 2 ** (16 + bits)."""
     bits = start.bits
     wide = 65536 - b
-    low, width = (b << bits) + wide * start.cum.take(now, mode="clip"), wide * start.freq.take(now, mode="clip")
-    first = hit1 & ~hit2
-    low = np.where(first, a.astype(np.int64) << bits, low)
-    width = np.where(first, (b - a) << bits, width)
-    low[hit2] = 0
-    return low, np.where(hit2, a.astype(np.int64) << bits, width)
+    low, width = start.cum.take(now, mode="clip"), start.freq.take(now, mode="clip")
+    low *= wide
+    low += b << bits
+    width *= wide
+    end = a << bits
+    first = hit1 > hit2
+    np.copyto(low, end, where=first)
+    np.copyto(width, (b - a) << bits, where=first)
+    np.copyto(low, 0, where=hit2)
+    np.copyto(width, end, where=hit2)
+    return low, width
+
+
+def _turned(array: np.ndarray) -> np.ndarray:
+    """The array's transpose, copied by 64 rows at once: lines of cache that rows of a power of two share would be lost before they are full."""
+    out = np.empty(array.shape[::-1], array.dtype)
+    for i in range(0, len(array), 64):
+        out[:, i : i + 64] = array[i : i + 64].T
+    return out
 
 
 def _laid(symbols: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     lanes = max(1, -(-len(symbols) // block))
-    out = np.zeros(lanes * block, np.int64)
+    out = np.zeros(lanes * block, symbols.dtype)
     out[: len(symbols)] = symbols
     sizes = np.full(lanes, block)
     sizes[-1] = len(symbols) - (lanes - 1) * block
-    return np.ascontiguousarray(out.reshape(lanes, block).T), sizes
+    return _turned(out.reshape(lanes, block)), sizes
 
 
 def encode(ids: np.ndarray, block: int | None = None) -> bytes:
@@ -166,13 +191,14 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
         raise ValueError("ids must be unsigned 32-bit integers")
     if len(ids) and ids.max() < 1 << 20:
-        known = np.flatnonzero(np.bincount(ids))
-        place = np.zeros(known[-1] + 1, np.int64)
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        place, counts = np.zeros(known[-1] + 1, np.int32), counts[known]
         place[known] = np.arange(len(known))
         symbols = place[ids]
     else:
-        known, symbols = np.unique(ids, return_inverse=True)
-    start = _Start.of(symbols, known.astype(np.int64)) if len(ids) else _Start(*(np.zeros(1, np.int64) for _ in range(4)), 16)
+        known, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    start = _Start.of(symbols, known.astype(np.int64), counts) if len(ids) else _Start(*(np.zeros(1, np.int64) for _ in range(4)), 16)
     laid, sizes = _laid(symbols, block)
     lanes, width, total = len(sizes), int(sizes.max()), 16 + start.bits
     model = _Model(lanes, start)
@@ -180,7 +206,7 @@ def encode(ids: np.ndarray, block: int | None = None) -> bytes:
     words, n = np.zeros((3 * width + 4, lanes), np.int32), np.zeros(lanes, np.int64)
     flat = words.ravel()
     for t in range(width):
-        now = laid[t]
+        now = laid[t].astype(np.int64)
         a, b = model.predict()
         hit2, hit1 = model.c2 == now, model.c1 == now
         begin, freq = _interval(start, now, a, b, hit2, hit1)
@@ -233,7 +259,7 @@ def decode(frame: bytes) -> np.ndarray:
     start, at = _Start.unpacked(head, bits), _HEAD.size + size
     n = np.frombuffer(frame, "<u4", lanes, at).astype(np.int64)
     sums = np.frombuffer(frame, "<u4", lanes, at + 4 * lanes)
-    laid = np.zeros((lanes, int(n.max()) + 5), np.int64)
+    laid = np.zeros((lanes, int(n.max()) + 5), np.uint16)
     laid[np.arange(laid.shape[1]) < n[:, None]] = np.frombuffer(frame, "<u2", int(n.sum()), at + 8 * lanes)
     data, place = laid.ravel(), np.arange(lanes) * laid.shape[1]
     last = total - (lanes - 1) * block
@@ -241,11 +267,12 @@ def decode(frame: bytes) -> np.ndarray:
     out = np.zeros((width, lanes), np.uint32)
     model, inverse = _Model(lanes, start), np.repeat(np.arange(len(start.freq)), start.freq)
     code, span = np.zeros(lanes, np.int64), np.full(lanes, _ALL, np.int64)
-    code += data[place] << 46
+    code += data[place].astype(np.int64) << 46
     for shift in (30, 14, -2):
         place = place + 1
-        code += data[place] << shift if shift > 0 else data[place] >> -shift
-    rest = (data[place] & 3).astype(np.int64)  # two bits of the fourth word are not in the state yet
+        word = data[place].astype(np.int64)
+        code += word << shift if shift > 0 else word >> -shift
+    rest = word & 3  # two bits of the fourth word are not in the state yet
     place = place + 1
     for t in range(width):
         a, b = model.predict()
@@ -271,7 +298,8 @@ def decode(frame: bytes) -> np.ndarray:
         small = np.flatnonzero(span <= _KEEP)
         while len(small):
             at = place[small]
-            word = rest[small] << 16 | data.take(at, mode="clip")
+            word = rest[small] << 16
+            word |= data.take(at, mode="clip").astype(np.int64)
             code[small] = code[small] << 16 | word >> 2
             rest[small] = word & 3
             place[small] = at + 1
@@ -280,7 +308,7 @@ def decode(frame: bytes) -> np.ndarray:
             small = small[narrow <= _KEEP]
         model.update(now, hit2, hit1)
         out[t] = start.ids.take(now, mode="clip")
-    out = np.ascontiguousarray(out.T)
+    out = _turned(out)
     for i in range(lanes):
         if zlib.crc32(out[i, : block if i < lanes - 1 else last].astype("<u4").tobytes()) != sums[i]:
             raise ValueError(f"block {i} is damaged")

@@ -27,15 +27,19 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import token_coder
 from tidelog.llm.common import scratch, table, tidy
-from tidelog.llm.pretokens import SLICE, SPACES, Chunks, gathered, slices
+from tidelog.llm.kept_chunks import KeptChunks, even_slices
+from tidelog.llm.pretokens import SLICE, SPACES, Chunks, gathered
 
 FRAME = 1 << 22
 END_ID = 2
+#: Chunks whose ids a Python worker keeps, of about 40 bytes each.
+KEPT = 1 << 19
 #: How a byte-level vocabulary writes the space.
 _SPACE = "\u0120"
 #: A space and letters: one word to the usual pattern.
 _ASCII = r"\A [A-Za-z]+\z"
 _LATIN = r"\A [A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+\z"
+_BARE = _LATIN.replace(r"\A ", r"\A")
 #: A space and a word, which has no white space at its ends and no space within.
 _WORD = rf"\A [^{SPACES}]([^ ]*[^{SPACES}])?\z"
 FRAMES = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("frame", pa.binary())])
@@ -56,7 +60,7 @@ class Tokens:
     Byte-level BPE by the usual pattern goes by way of distinct chunks; all other tokenizers get whole texts.
     """
 
-    def __init__(self, content: bytes, special_as_text: bool = False):
+    def __init__(self, content: bytes, special_as_text: bool = False, kept: int = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer, about = Tokenizer.from_buffer(content), json.loads(content)
@@ -71,13 +75,14 @@ class Tokens:
         #: Whether an id's bytes begin with a space.
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
-        self.chunks = Chunks(self._encode, tuple(x["content"] for x in about.get("added_tokens") or []))
+        apart = tuple(x["content"] for x in about.get("added_tokens") or [])
+        self.chunks = KeptChunks(self._encode, apart, kept) if kept else Chunks(self._encode, apart)
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks of a space and a word go to the library side by side: only their first ids begin with a space."""
         left, rest, found, masks = np.arange(len(chunks)), chunks, [], []
         array = pa.array(chunks, pa.string())
-        for pattern, encode in ((_ASCII, self._ascii), (_LATIN, self._latin), (_WORD, self._joined), ("", self._apart)):
+        for pattern, encode in ((_ASCII, self._ascii), (_LATIN, self._latin), (_BARE, self._bare), (_WORD, self._joined), ("", self._apart)):
             fits = pc.match_substring_regex(array, pattern)
             mask = fits.to_numpy(zero_copy_only=False)
             own = list(compress(rest, mask))
@@ -102,6 +107,13 @@ class Tokens:
         texts = ["\n".join(chunks[i : i + 500]).encode().decode("latin-1").translate(self.alphabet) for i in range(0, len(chunks), 500)]
         return self._split(self._apart(texts, self.by_line)[0], len(chunks))
 
+    def _bare(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As _latin(), of words without a space: each comes after a line of one space, whose id goes."""
+        if not (found := self._latin([f" \n{x}" for x in chunks])):
+            return None
+        ids, n = found
+        return np.delete(ids, np.cumsum(n) - n), n - 1
+
     def _ascii(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """As _latin(); of these characters only the space is written differently in the alphabet."""
         texts = ["\n".join(chunks[i : i + 500]).replace(" ", _SPACE) for i in range(0, len(chunks), 500)]
@@ -119,15 +131,15 @@ class Tokens:
         return self.chunks.ids(texts) if self.by_chunks else self._apart([x or "" for x in texts.to_pylist()])
 
 
-_MADE: dict[tuple[bytes, bool], Tokens] = {}
+_MADE: dict[tuple[bytes, bool, int], Tokens] = {}
 
 
-def made(content: bytes, special_as_text: bool = False) -> Tokens:
+def made(content: bytes, special_as_text: bool = False, kept: int = 0) -> Tokens:
     """One for each Python worker: its store of chunks serves later tasks too. The cluster's cores are the tasks'."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hashlib.sha256(content).digest(), special_as_text
+    key = hashlib.sha256(content).digest(), special_as_text, kept
     if key not in _MADE:
-        _MADE[key] = Tokens(content, special_as_text)
+        _MADE[key] = Tokens(content, special_as_text, kept)
     return _MADE[key]
 
 
@@ -135,7 +147,7 @@ def _frames(shared, end_id: int, frame: int, special_as_text: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        tokens, shard, part = made(shared.value, special_as_text), TaskContext.get().partitionId(), 0
+        tokens, shard, part = made(shared.value, special_as_text, KEPT), TaskContext.get().partitionId(), 0
         doc_ids, held, lengths, size = [], [], [], 0
 
         def row():
@@ -143,7 +155,7 @@ def _frames(shared, end_id: int, frame: int, special_as_text: bool):
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(values, FRAMES, strict=True)], schema=FRAMES)
 
         for batch in batches:
-            for rows in slices(batch, 1, min(SLICE, 4 * frame)):
+            for rows in even_slices(batch, 1, min(SLICE, 4 * frame)):
                 ids, n = tokens.encode(rows.column(1))
                 ids, own = np.insert(ids, np.cumsum(n), end_id), rows.column(0).to_pylist()
                 ends = np.cumsum(n + 1)
